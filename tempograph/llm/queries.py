@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import substring_dedup as repeats, toxicity
 from .common import read
 
 
@@ -13,5 +13,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op8_toxicity": op8_toxicity}
-SQL: dict[str, str] = {}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.substring_dedup(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_toxicity": op8_toxicity}
+SQL: dict[str, str] = {"op1_substring_dedup": repeats.SQL}
