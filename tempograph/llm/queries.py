@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup as repeats, toxicity
+from . import near_dedup, substring_dedup as repeats, toxicity
 from .common import read
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -17,5 +21,5 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op1_substring_dedup": repeats.SQL}
