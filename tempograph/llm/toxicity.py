@@ -142,7 +142,7 @@ def scorer(model: dict, p_max: float = 0.05):
                 hit, k = hit[ok], k[ok]
                 doc = np.searchsorted(first, hit, "right") - 1
                 cuts = np.flatnonzero(np.diff(doc, prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                for a, b in zip(cuts, np.append(cuts[1:], len(doc))[: len(cuts)], strict=True):
                     d = int(doc[a])
                     if (langs[lo + d] if langs[lo + d] in tables else POOLED) != i0:
                         continue
