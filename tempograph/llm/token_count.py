@@ -17,6 +17,8 @@ counted each; null doc_ids are kept. Extra columns are not in the result.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -26,8 +28,10 @@ from .common import slices, utf8
 from .pretoken import cuts, load_ranks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_STATES = 60_000
+MAX_STATES = 500_000
 LANE = 512
+_LIVE = struct.Struct("<Bib")
+PACK, UNPACK = _LIVE.pack, _LIVE.iter_unpack
 
 
 class Transducer:
@@ -42,20 +46,63 @@ class Transducer:
     def reset(self) -> None:
         self.key: dict = {}
         self.states: list = []
-        self.next = np.full((1024, 256), -1, np.int32)
-        self.delta = np.zeros((1024, 256), np.int8)
-        self.state((b"", ((0, -1, 0),)))
-
-    def state(self, sig: tuple) -> int:
-        i = self.key.get(sig)
-        if i is None:
-            i = self.key[sig] = len(self.states)
+        self.bits = 18
+        self.slot_key = np.full(1 << self.bits, -1, np.int64)  # state * 256 + byte; open addressing
+        self.slot = np.zeros(1 << self.bits, np.int32)  # next state and change of the count, packed
+        self.used = 0
+        self.state(b"", [(0, -1, 0)])
+
+    def state(self, suffix: bytes, live: list[tuple[int, int, int]]) -> int:
+        sig = b"".join([bytes([len(suffix)]), suffix, *(PACK(*x) for x in live)])
+        i = self.key.setdefault(sig, len(self.states))
+        if i == len(self.states):
             self.states.append(sig)
-            if i == len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
         return i
 
+    def put(self, key: int, value: int) -> None:
+        if self.used * 2 > len(self.slot):
+            old, val = self.slot_key, self.slot
+            keep = np.flatnonzero(old >= 0)
+            self.bits += 1
+            self.slot_key, self.slot = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+            k, v = old[keep], val[keep]
+            pos = self.hash(k)
+            while len(k):
+                _, one = np.unique(pos, return_index=True)
+                one = one[self.slot_key[pos[one]] < 0]
+                self.slot_key[pos[one]], self.slot[pos[one]] = k[one], v[one]
+                rest = np.ones(len(k), bool)
+                rest[one] = False
+                k, v, pos = k[rest], v[rest], (pos[rest] + 1) & (len(self.slot) - 1)
+        pos = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.bits
+        while self.slot_key[pos] >= 0:
+            pos = (pos + 1) & (len(self.slot) - 1)
+        self.slot_key[pos], self.slot[pos] = key, value
+        self.used += 1
+
+    def hash(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """Packed transitions, compiled where they are new."""
+        pos = self.hash(key)
+        k = self.slot_key[pos]
+        out = self.slot[pos]
+        bad = np.flatnonzero(k != key)
+        while len(bad):
+            empty = k[bad] < 0
+            if empty.any():
+                for q in np.unique(key[bad[empty]]):
+                    self.compile(int(q))
+                pos = self.hash(key)  # the table may have grown
+                k, out = self.slot_key[pos], self.slot[pos]
+                bad = np.flatnonzero(k != key)
+                continue
+            pos[bad] = (pos[bad] + 1) & (len(self.slot) - 1)
+            k[bad], out[bad] = self.slot_key[pos[bad]], self.slot[pos[bad]]
+            bad = bad[k[bad] != key[bad]]
+        return out
+
     def merge(self, piece: bytes) -> list[int]:
         """Byte-pair encoding by its definition."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -83,20 +130,24 @@ class Transducer:
             ok = self.pairs[a, b] = self.merge(self.by_rank[a] + self.by_rank[b]) == [a, b]
         return ok
 
-    def compile(self, s: int, byte: int) -> None:
-        suffix, live = self.states[s]
-        suffix += bytes([byte])
+    def compile(self, key: int) -> None:
+        sig = self.states[key >> 8]
+        n = sig[0]
+        suffix = sig[1 : n + 1] + bytes([key & 255])
+        n += 1
         last = count = None
-        for d, before, rel in live:
-            r = self.ranks.get(suffix[len(suffix) - d - 1 :])
-            if r is not None and self.may_follow(before, r):
-                last, count = r, rel + 1
-                break
-        keep = [(d + 1, before, rel - count) for d, before, rel in live if suffix[len(suffix) - d - 1 :] in self.prefixes]
-        longest = max((d for d, _, _ in keep), default=0)
-        sig = (suffix[len(suffix) - longest :], (*keep, (0, last, 0)))
-        n = self.state(sig)
-        self.next[s, byte], self.delta[s, byte] = n, count
+        keep = []
+        for d, before, rel in UNPACK(sig[n:]):
+            end = suffix[n - d - 1 :]
+            if last is None:
+                r = self.ranks.get(end)
+                if r is not None and self.may_follow(before, r):
+                    last, count = r, rel + 1
+            if end in self.prefixes:
+                keep.append((d + 1, before, rel))
+        live = [(d, before, rel - count) for d, before, rel in keep]
+        suffix = suffix[n - max((d for d, _, _ in keep), default=0) :]
+        self.put(key, self.state(suffix, [*live, (0, last, 0)]) * 32 + count + 16)
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Number of tokens of each text."""
@@ -114,22 +165,18 @@ class Transducer:
         length = np.diff(np.append(start, len(data)))
         order = np.argsort(-length, kind="stable")
         start, owner, length = start[order], owner[order], length[order]
-        sym = data.astype(np.uint16)
-        sym[cut] += 256
-        state, total = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        active = len(start)
+        sym = data.astype(np.int64)
+        keep = np.full(len(data), -1, np.int64)
+        keep[cut] = 0  # a piece starts anew
+        state, total, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), start
         for j in range(int(length[0])):
-            while active and length[active - 1] <= j:
+            if length[len(state) - 1] <= j:
                 active = int(np.searchsorted(-length, -j, "left"))
-            x = sym[start[:active] + j]
-            idx = np.where(x >= 256, 0, state[:active]) * 256 + (x & 255)
-            nxt = self.next.ravel()[idx]
-            if (nxt < 0).any():
-                for q in np.unique(idx[nxt < 0]):
-                    self.compile(int(q) >> 8, int(q) & 255)
-                nxt = self.next.ravel()[idx]
-            total[:active] += self.delta.ravel()[idx]
-            state[:active] = nxt
+                state, at = state[:active], at[:active]
+            x = self.get((state & keep[at]) << 8 | sym[at]).astype(np.int64)
+            total[: len(x)] += (x & 31) - 16
+            state = x >> 5
+            at = at + 1
         return np.bincount(owner, weights=total, minlength=n).astype(np.int64)
 
 
