@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, secret_scan, substring_dedup as repeats, toxicity
+from . import near_dedup, packing, secret_scan, substring_dedup as repeats, token_count, toxicity
 from .common import read
 
 
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_count(read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
 
@@ -26,5 +34,5 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_toxicity": op8_toxicity}
+QUERIES = {"op2_token_count": op2_token_count, "op3_packing": op3_packing, "op1_substring_dedup": op1_substring_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op1_substring_dedup": repeats.SQL}
