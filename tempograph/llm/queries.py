@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dedup, packing, secret_scan, substring_dedup as repeats, token_count, toxicity
+from . import bpe, near_dedup, packing, secret_scan, substring_dedup as repeats, token_count, toxicity
 from .common import read
 
 
@@ -34,5 +34,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_count": op2_token_count, "op3_packing": op3_packing, "op1_substring_dedup": op1_substring_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_toxicity": op8_toxicity}
+def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's ids, and whether decoding them gives the text back."""
+    x = read(spark, sf_dir, "documents").select("doc_id", "text", bpe.encoder()(F.col("text")).alias("ids"))
+    return x.select("doc_id", "ids", F.size("ids").alias("n_tokens"), bpe.decoder()(F.col("ids")).eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+QUERIES = {"op10_bpe_encoding": op10_bpe_encoding, "op2_token_count": op2_token_count, "op3_packing": op3_packing, "op1_substring_dedup": op1_substring_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op1_substring_dedup": repeats.SQL}
