@@ -1,4 +1,8 @@
-"""Registry of the queries and their SQL."""
+"""Registry of the queries and their SQL: each module of plans adds its own."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from .plans import conversations, history, retrieval, texts
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "conversations", "history", "retrieval", "texts"]
