@@ -6,8 +6,10 @@ similarity, as both the shared k-mers and their order count. Each of the m value
 
 1. Documents with equal word sequences are one node, the smallest doc_id.
 2. A bucket is a band's value shared by several nodes. Buckets of up to SMALL nodes give all their pairs; a larger one
-   gives each member's pair with the smallest node. Members of large buckets that end in another group than that node
-   are put into a bucket again, one for each group, until no untested pair is left: no candidate is dropped.
+   gives each member's pair with its smallest node, which joins a family of copies of whatever size. Where members of a
+   large bucket are then still in several groups (a passage shared by many documents puts them there), one of each group
+   goes on: up to SMALL of them give all their pairs, more are put into buckets by a further band as well, and so on
+   until no bucket is large. So no bucket is cut off, and none gives a quadratic number of pairs.
    Pairs whose lengths alone put them under the threshold are not candidates.
 3. Pairs are verified by banded alignment of the word sequences (edit distance at most (1 - threshold) * longer length;
    the band doubles until it holds the distance). Pairs inside one group already need no verification: first each node's
@@ -236,17 +238,20 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
     node = facts.groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
     same = facts.select("id", "digest").join(node.select("digest", F.col("r.id").alias("g")), "digest").where("id <> g").select("id", "g").distinct()
     same = work.cut(same)
-    rows = node.select(F.struct("r.id", "r.n").alias("d"), F.posexplode("r.bands").alias("band", "v"))
-    by = W.partitionBy("band", "v")
-    order = by.orderBy("d")
-    rows = rows.select("d", "band", "v", F.count("*").over(by).alias("c"), F.min("d").over(by).alias("s"), F.array(*[F.lag("d", j).over(order) for j in range(1, SMALL)]).alias("p")).where("c > 1")
-    rows = work.cut(rows)
-    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * threshold - 1e-6
-    ab = F.explode(F.when(F.col("c") <= SMALL, F.col("p")).otherwise(F.array("s"))).alias("q")
-    pairs = rows.select("d", ab).where("q is not null and q.id <> d.id").where(near(F.col("d.n"), F.col("q.n")))
-    pairs = work.cut(pairs.groupBy(F.least("d.id", "q.id").alias("a"), F.greatest("d.id", "q.id").alias("b")).agg(F.count("*").alias("c")))
-    large = work.cut(rows.where(F.col("c") > SMALL).select("band", "v", "d").distinct())
-    work.drop(facts, rows)
+    node = work.cut(node.select("r.*"))
+    work.drop(facts)
+    rows = node.select(F.struct("id", "n").alias("d"), F.posexplode("bands").alias("last", "v")).withColumn("key", F.xxhash64("last", "v"))
+    rows = work.cut(_buckets(rows.select("key", "last", "d")))
+    near = F.least("d.n", "q.n") >= F.greatest("d.n", "q.n") * threshold - 1e-6
+
+    def candidates(buckets: DataFrame) -> DataFrame:
+        q = F.explode(F.when(F.col("c") <= SMALL, F.col("p")).otherwise(F.array("s"))).alias("q")
+        x = buckets.select("d", q).where("q is not null and q.id <> d.id").where(near)
+        return x.groupBy(F.least("d.id", "q.id").alias("a"), F.greatest("d.id", "q.id").alias("b")).agg(F.count("*").alias("c"))
+
+    pairs = work.cut(candidates(rows))
+    large = work.cut(rows.where(F.col("c") > SMALL).select("key", "last", "d"))
+    work.drop(rows)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("d.id")).distinct()
     texts = work.cut(text.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
@@ -263,25 +268,33 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
             pick = F.struct("c", -F.col("a"), -F.col("b"))
             cross = cross.groupBy("gb").agg(F.max_by(F.struct("a", "b"), pick).alias("p")).select("p.a", "p.b")
         tested, label = _merge(work, tested, verify(cross), label)
+    level = 1
     while not large.isEmpty():  # buckets whose members aren't all compared with each other
-        mem = large.join(label, large["d.id"] == label["id"], "left").withColumn("g", F.coalesce("g", "d.id"))
-        mem = mem.groupBy("band", "v", "g").agg(F.min("d").alias("d")).withColumn("d", F.struct("d.id", "d.n", "g"))
-        by = W.partitionBy("band", "v")
-        mem = work.cut(mem.select("band", "v", "d", F.count("*").over(by).alias("c"), F.min("d").over(by).alias("s"), F.array(*[F.lag("d", j).over(by.orderBy("d")) for j in range(1, SMALL)]).alias("p")).where("c > 1"))
-        new = mem.select("d", ab).where("q is not null and q.id <> d.id").where(near(F.col("d.n"), F.col("q.n"))).select(F.least("d.id", "q.id").alias("a"), F.greatest("d.id", "q.id").alias("b")).distinct()
+        level += 1
+        mem = large.join(label, large["d.id"] == label["id"], "left").groupBy("key", "last", F.coalesce("g", "d.id").alias("g")).agg(F.min("d").alias("d"))
+        mem = work.cut(_buckets(mem.select("key", "last", "d")))
+        split = mem.where(F.col("c") > SMALL).select("key", "last", "d").join(node.select("id", "bands"), F.col("d.id") == F.col("id")).select("key", "last", "d", F.posexplode("bands").alias("j", "v"))
+        split = split.where("j <> last" if level == 2 else "j > last").select(F.xxhash64("key", "v").alias("key"), F.col("j").alias("last"), "d")
+        split = work.cut(_buckets(split))
+        new = candidates(mem.where(F.col("c") <= SMALL)).unionByName(candidates(split)).select("a", "b").distinct()
         new = verify(new.join(tested, ["a", "b"], "left_anti"))
-        # the first group of a bucket that is still large has been compared with all others in it, and leaves
-        more = mem.where(F.col("c") > SMALL).select("band", "v", "s.g").distinct().withColumnRenamed("g", "sg")
-        nxt = work.cut(large.join(more, ["band", "v"]).join(label, F.col("d.id") == label["id"], "left").where("coalesce(g, d.id) <> sg").select("band", "v", "d"))
-        work.drop(large, mem)
+        nxt = work.cut(split.where(F.col("c") > SMALL).select("key", "last", "d"))
+        work.drop(large, mem, split)
         tested, label = _merge(work, tested, new, label)
         large = nxt
     links = label.select(F.col("g").alias("a"), F.col("id").alias("b")).unionByName(same.select(F.col("g").alias("a"), F.col("id").alias("b")))
     out = components(work, links)
-    work.drop(label, same, tested, pairs, texts)
+    work.drop(label, same, tested, pairs, texts, node)
     return out.unionByName(out.select(F.col("g").alias("id"), "g")).distinct()
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Rows (key, last, d) of the buckets with two members or more, with the size c, the smallest member s and up to SMALL - 1 members before this one, p."""
+    by = W.partitionBy("key", "last")
+    order = by.orderBy("d")
+    return rows.select("key", "last", "d", F.count("*").over(by).alias("c"), F.min("d").over(by).alias("s"), F.array(*[F.lag("d", j).over(order) for j in range(1, SMALL)]).alias("p")).where("c > 1")
+
+
 def _cross(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs that join two groups."""
     x = pairs.join(label.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
