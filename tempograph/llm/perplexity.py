@@ -223,7 +223,7 @@ def perplexity(docs: DataFrame, width: float = 4.0, slack: float = 3.0) -> DataF
     mid = x.groupBy("lang").agg(F.coalesce(F.percentile_approx(long, 0.5, 10_000), F.percentile_approx("x", 0.5, 10_000)).alias("mid"), F.avg(F.col("y") - F.col("x") * F.col("x")).alias("tau2"))
     mad = x.join(F.broadcast(mid), "lang").groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("n") >= LONG, F.abs(F.col("x") - F.col("mid"))), 0.5, 10_000), F.lit(0.0)).alias("mad"))
     band = mid.join(mad, "lang")  # a row for each language
-    s = F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + slack * F.col("tau2") / F.col("n"))
+    s = F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + slack * F.col("tau2") / F.when(F.col("n") > 0, F.col("n")))
     x = x.join(F.broadcast(band), "lang").withColumn("s", s)
     low, high = F.col("mid") - width * F.col("s"), F.col("mid") + width * F.col("s")
     return x.select("doc_id", "lang", F.round(F.exp("x"), 6).alias("perplexity"), F.round(F.exp(low), 6).alias("low"), F.round(F.exp(high), 6).alias("high"), F.coalesce((F.col("x") < low) | (F.col("x") > high), F.lit(False)).alias("rejected"))
