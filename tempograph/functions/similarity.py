@@ -20,7 +20,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def numeric_similarity(a: Column, b: Column) -> Column:
     """1 - |a - b| / max(1, a, b) within 0..1; 0 where either is null."""
     x, y = a.cast("double"), b.cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(x - y) / F.greatest(F.lit(1.0), x, y))), F.lit(0.0))
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(x - y) / F.greatest(F.lit(1.0), x, y)))
+    return F.when(x.isNotNull() & y.isNotNull(), s).otherwise(F.lit(0.0))
 
 
 def structural_overlap(features: Column, nodes: Column, depth: Column, arity: Column) -> Column:
