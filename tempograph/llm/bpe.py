@@ -179,21 +179,40 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
+#: Bytes of text in one step; bounds a worker's memory.
+STEP = 1 << 20
+
+
+def encode_column(text: pa.Array, c: Codec) -> tuple[pa.Array, np.ndarray]:
+    """Lists of ids, and whether each decodes to its text's bytes."""
+    data, off = utf8(text)
+    ids, lens, same = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], np.ones(len(off) - 1, bool)
+    for lo, hi in slices(off, STEP):
+        part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        x, o = c.encode(part, at)
+        back, to = c.decode(x, o)
+        if not (np.array_equal(to, at) and np.array_equal(back, part)):
+            same[lo:hi] = [np.array_equal(back[to[i] : to[i + 1]], part[at[i] : at[i + 1]]) for i in range(hi - lo)]
+        ids.append(x)
+        lens.append(o[1:] + lens[-1][-1])
+    offsets = np.concatenate(lens).astype(np.int32)
+    null = text.is_null().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets), pa.array(np.concatenate(ids))), same
+
+
 def encoder(path: str = VOCABULARY):
     """An Arrow UDF from text to token ids."""
+    return arrow_udf(lambda text: encode_column(text, codec(path))[0], T.ArrayType(T.IntegerType()))
+
+
+def checked_encoder(path: str = VOCABULARY):
+    """An Arrow UDF from text to a struct of its token ids and whether they decode to it."""
 
     def encode(text: pa.Array) -> pa.Array:
-        c = codec(path)
-        data, off = utf8(text)
-        ids, lens = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for lo, hi in slices(off):
-            x, o = c.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            ids.append(x)
-            lens.append(o[1:] + lens[-1][-1])
-        offsets = pa.array(np.concatenate(lens).astype(np.int32), mask=np.append(text.is_null().to_numpy(zero_copy_only=False), False)) if text.null_count else pa.array(np.concatenate(lens).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-
-    return arrow_udf(encode, T.ArrayType(T.IntegerType()))
+        ids, same = encode_column(text, codec(path))
+        return pa.StructArray.from_arrays([ids, pa.array(same)], ["ids", "round_trip"])
+
+    return arrow_udf(encode, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
 
 
 def decoder(path: str = VOCABULARY):

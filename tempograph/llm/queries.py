@@ -49,8 +49,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's ids, and whether decoding them gives the text back."""
-    x = read(spark, sf_dir, "documents").select("doc_id", "text", bpe.encoder()(F.col("text")).alias("ids"))
-    return x.select("doc_id", "ids", F.size("ids").alias("n_tokens"), bpe.decoder()(F.col("ids")).eqNullSafe(F.col("text")).alias("round_trip"))
+    x = read(spark, sf_dir, "documents").select("doc_id", bpe.checked_encoder()(F.col("text")).alias("e"))
+    return x.select("doc_id", "e.ids", F.size("e.ids").alias("n_tokens"), "e.round_trip")
 
 
 QUERIES = {"op5_topk_search": op5_topk_search, "op6_quality_perplexity": op6_quality_perplexity, "op9_chat_formatting": op9_chat_formatting, "op10_bpe_encoding": op10_bpe_encoding, "op2_token_count": op2_token_count, "op3_packing": op3_packing, "op1_substring_dedup": op1_substring_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_toxicity": op8_toxicity}
