@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, conversations as C, topics as T
+from ..operators import context, conversations as C, render, topics as T
 from .registry import Tables, query
 
 
@@ -235,3 +235,15 @@ def bounded_conversation(t: Tables):
 @query("SELECT conv_id, turn, greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS tokens FROM conversations")
 def token_estimate(t: Tables):
     return t.conversations.select("conv_id", "turn", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END || ': ' || CASE WHEN turn % 2 = 0 THEN '```text' || chr(10) || text || chr(10) || '```' ELSE text END AS markdown FROM conversations""")
+def message_markdown(t: Tables):
+    b = F.array(F.struct(F.when(F.col("turn") % 2 == 0, "code").otherwise("text").alias("type"), F.col("text").alias("text"), F.when(F.col("turn") % 2 == 0, "text").alias("language"), F.lit(None).cast("string").alias("url")))
+    return t.conversations.select("conv_id", "turn", F.concat(render.role(F.col("role")), F.lit(": "), render.blocks(b)).alias("markdown"))
+
+
+@query()
+def context_markdown(t: Tables):
+    return render.bundle(context_pack(t), t.messages())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import graph, lineage as L
+from ..operators import graph, lineage as L, recovery
 from .registry import Tables, query
 
 _OBS = "o AS (SELECT doc_id AS seq, source AS logical, sha256(text) AS revision, lang AS path FROM documents)"
@@ -255,3 +255,32 @@ FROM part WHERE contains(lower(p_name), 'part') ORDER BY tier, p_name, CAST(p_pa
 def start_resolver(t: Tables):
     s = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), "p_partkey")
     return graph.resolve_starts(s, "part").select("p_partkey", F.col("name").alias("p_name"), "tier")
+
+
+@query("""
+SELECT 'customer' AS name, count(*) AS n FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
+UNION ALL SELECT 'lineitem', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
+def integrity_counts(t: Tables):
+    a = recovery.orphans(t.orders, t.customer, {"o_custkey": "c_custkey"}).agg(F.count("*").alias("n")).select(F.lit("customer").alias("name"), "n")
+    b = recovery.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"]).agg(F.count("*").alias("n")).select(F.lit("lineitem").alias("name"), "n")
+    return a.unionByName(b)
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS ref, max(o_orderkey) AS head FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+k AS (SELECT ref, CASE ref % 4 WHEN 0 THEN head WHEN 1 THEN head - 1 WHEN 2 THEN -1 END AS cp FROM r)
+SELECT r.ref, head, cp AS checkpoint, CASE WHEN cp IS NULL THEN 'missing' WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = cp) THEN 'rewritten' WHEN cp = head THEN 'current' ELSE 'behind' END AS state FROM r JOIN k ON r.ref = k.ref""")
+def recovery_inspection(t: Tables):
+    refs = t.orders.groupBy(F.col("o_custkey").alias("ref")).agg(F.max("o_orderkey").alias("head")).join(t.customer.select(F.col("c_custkey").alias("ref")), "ref", "left_semi")
+    m = F.col("ref") % 4
+    cp = refs.select("ref", F.when(m == 0, F.col("head")).when(m == 1, F.col("head") - 1).when(m == 2, -1).alias("oid")).where("oid is not null")
+    jobs = t.spark.createDataFrame([], "ref long, status string")
+    return recovery.inspect(refs, cp, t.orders.select(F.col("o_orderkey").alias("oid")), jobs).select("ref", "head", "checkpoint", "state")
+
+
+@query("""
+SELECT DISTINCT l_partkey AS new_blob FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)""")
+def repair_gaps(t: Tables):
+    ch = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("new_blob"), F.lit("100644").alias("new_mode"), F.lit("x").alias("new_path"))
+    an = t.part.where("p_size < 25").select(F.col("p_partkey").cast("string").alias("blob_oid"), F.lit("v1").alias("fingerprint"))
+    return recovery.gaps(ch, an, "v1").select(F.col("new_blob").cast("long").alias("new_blob"))
