@@ -40,8 +40,9 @@ def assign(n: np.ndarray, cost: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack(docs: DataFrame, capacity: int = 8192, linear: float = 1.0, quadratic: float = 1 / 4096, shard_tokens: int = 1 << 22, path: str = VOCABULARY) -> DataFrame:
     """sequence_id, position, doc_id, start_token, n_tokens, cost: a row for each piece."""
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), counter(path)(F.col("text")).alias("n")).where("n > 0")
-    counts = Work(docs.sparkSession, "packing").cut(counts)
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), counter(path)(F.col("text")).alias("n"))
+    # written before it is filtered: a filter on the count would be pushed below it and count twice
+    counts = Work(docs.sparkSession, "packing").cut(counts).where("n > 0")
     total = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long")))
