@@ -18,18 +18,20 @@ def forbidden_keys(names: Column) -> Column:
 def violations(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
     """(conversation, rule): everything that makes an observation unacceptable. nodes: (conversation, node, parent, text, keys); conversations: (conversation, current_node, path).
 
-    A cycle is a node that no root reaches: parents are followed by pointer doubling, so 2^k steps take k joins.
+    A cycle is nodes that no root reaches over known parents, in a recursive query that never enters one.
     """
     rule = lambda df, name: df.select("conversation", F.lit(name).alias("rule")).distinct()
     own = nodes.select(F.col("conversation").alias("_c"), F.col("node").alias("_n")).distinct()
     count = nodes.groupBy("conversation").agg(F.count("*").alias("n"), F.count_distinct("node").alias("d"))
     missing = nodes.where("parent is not null").join(own, (F.col("conversation") == F.col("_c")) & (F.col("parent") == F.col("_n")), "left_anti")
-    up = nodes.select("conversation", "node", F.col("parent").alias("up"))
-    for _ in range(MAX_DEPTH.bit_length()):
-        nxt = up.select(F.col("conversation").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_u"))
-        up = up.join(nxt, (F.col("conversation") == F.col("_c")) & (F.col("up") == F.col("_n")), "left").select("conversation", "node", F.when(F.col("up").isNotNull(), F.col("_u")).alias("up"))
-        if up.where("up is not null").isEmpty():
-            break
+    tree = nodes.select("conversation", "node", "parent").distinct().join(own, (F.col("conversation") == F.col("_c")) & (F.col("parent") == F.col("_n")), "left")
+    tree.select("conversation", "node", F.when(F.col("_n").isNotNull(), F.col("parent")).alias("parent")).createOrReplaceTempView("tg_observed")
+    reached = nodes.sparkSession.sql(f"""
+        WITH RECURSIVE reach(conversation, node) MAX RECURSION LEVEL {MAX_DEPTH} AS (
+          SELECT conversation, node FROM tg_observed WHERE parent IS NULL
+          UNION ALL SELECT o.conversation, o.node FROM reach r JOIN tg_observed o ON o.conversation = r.conversation AND o.parent = r.node)
+        SELECT conversation AS _c, node AS _n FROM reach""")
+    cyclic = own.join(reached, ["_c", "_n"], "left_anti").withColumnRenamed("_c", "conversation")
     path = conversations.select("conversation", F.posexplode("path").alias("i", "node")).join(nodes.select("conversation", "node", "parent"), ["conversation", "node"], "left")
     prev = conversations.select("conversation", F.posexplode("path").alias("j", "before")).withColumn("i", F.col("j") + 1).drop("j")
     step = path.join(prev, ["conversation", "i"])
@@ -39,7 +41,7 @@ def violations(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
         rule(nodes.where(F.octet_length("text") > MAX_TEXT), "text-too-large"),
         rule(nodes.where(F.size(forbidden_keys(F.coalesce("keys", F.array().cast("array<string>")))) > 0), "credential-key"),
         rule(missing, "unknown-parent"),
-        rule(up.where("up is not null"), "cycle"),
+        rule(cyclic, "cycle"),
         rule(conversations.where("current_node is not null").join(own, (F.col("conversation") == F.col("_c")) & (F.col("current_node") == F.col("_n")), "left_anti"), "unknown-current-node"),
         rule(step.where("parent is null or parent <> before"), "broken-active-path"),
     ]
