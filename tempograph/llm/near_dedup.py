@@ -256,7 +256,8 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
     texts = work.cut(text.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
     def verify(p: DataFrame) -> DataFrame:
-        p = p.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(texts.select(F.col("id").alias("a"), "x"), "a")
+        p = work.cut(p.select("a", "b"))  # its size is then known before the plan is made: few pairs are broadcast, and the texts stay where they are
+        p = p.join(texts.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(texts.select(F.col("id").alias("a"), "x"), "a")
         return work.cut(p.select("a", "b", _similar(threshold)("x", "y").alias("ok")))
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
