@@ -68,7 +68,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(off: np.ndarray, size: int = 1 << 22):
+def slices(off: np.ndarray, size: int = 1 << 20):
     """Runs of rows with about ``size`` bytes in each, to bound the working memory of one step."""
     n, i = len(off) - 1, 0
     while i < n:

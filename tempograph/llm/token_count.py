@@ -196,7 +196,7 @@ def counter(path: str = VOCABULARY):
         t = transducer(path)
         data, off = utf8(text)
         out = np.zeros(len(off) - 1, np.int64)
-        for lo, hi in slices(off):
+        for lo, hi in slices(off, 1 << 21):
             out[lo:hi] = t.counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         return pa.array(out, mask=text.is_null().to_numpy(zero_copy_only=False))
 
