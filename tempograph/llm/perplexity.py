@@ -29,6 +29,8 @@ from .common import U64, Work, mix, slices, utf8
 ORDER = 5
 HELD = 8
 LONG = 500
+#: Bytes of text in one step; bounds a worker's memory.
+STEP = 1 << 20
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +65,11 @@ def _count(batches):
     for b in batches:
         data, off = utf8(b.column(1))
         lang = np.array([names.setdefault(x, len(names)) for x in b.column(0).to_pylist()], np.int64)
-        for lo, hi in slices(off):
+        for lo, hi in slices(off, STEP):
             key, first = grams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             key += np.repeat(lang[lo:hi] << 40, np.diff(first))
             held.append(np.unique(key, return_counts=True))
-            if sum(len(k) for k, _ in held) > 1 << 22:
+            if sum(len(k) for k, _ in held) > 1 << 21:
                 held[:] = [merged()]
     if held:
         k, c = merged()
@@ -192,7 +194,7 @@ def scorer(path: str):
         data, off = utf8(text)
         langs = [x or "" for x in lang.to_pylist()]
         n, s1, s2 = np.zeros(len(langs), np.int64), np.zeros(len(langs)), np.zeros(len(langs))
-        for lo, hi in slices(off):
+        for lo, hi in slices(off, STEP):
             key, first = grams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             doc = np.repeat(np.arange(lo, hi), np.diff(first))
             code = np.array([hash(x) for x in langs[lo:hi]])
