@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from .common import Work
 
 MARGIN = 1e-5
+STRIP = 512
 
 
 def _vectors(ids: bytes, vec: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +46,15 @@ def _lists(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
 
 
 def _self(qi: np.ndarray, xi: np.ndarray, d: np.ndarray) -> None:
-    """A vector is not its own neighbour."""
-    if qi[0] == xi[0] and len(qi) == len(xi):
-        i = np.flatnonzero(qi == xi)
-        d[i, i] = np.inf
+    """A vector is not its own neighbour; xi is in order."""
+    at = np.minimum(np.searchsorted(xi, qi), len(xi) - 1)
+    i = np.flatnonzero(xi[at] == qi)
+    d[i, at[i]] = np.inf
+
+
+def strips(n: int) -> list[slice]:
+    """A tile's queries some at a time, as they don't depend on each other: bounds the matrices in memory."""
+    return [slice(i, i + STRIP) for i in range(0, n, STRIP)]
 
 
 def local_sums(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k: int, lists: int) -> np.ndarray:
@@ -108,7 +114,9 @@ def nearest(vectors: DataFrame, k: int = 10, lists: int = 4, block: int = 4096)
     def phase1(batches):
         for p in batches:
             for r in p.itertuples():
-                yield pd.DataFrame({"b": [r.b], "sums": [local_sums(*_vectors(r.qi, r.qv), *_vectors(r.xi, r.xv), k, lists).tobytes()]})
+                (qi, q), (xi, x) = _vectors(r.qi, r.qv), _vectors(r.xi, r.xv)
+                sums = np.concatenate([local_sums(qi[s], q[s], xi, x, k, lists) for s in strips(len(qi))])
+                yield pd.DataFrame({"b": [r.b], "sums": [sums.tobytes()]})
 
     def cutoff(p: pd.DataFrame) -> pd.DataFrame:
         s = np.concatenate([np.frombuffer(r, np.float64).reshape(-1, k) for r in p.sums], axis=1)
@@ -118,8 +126,10 @@ def nearest(vectors: DataFrame, k: int = 10, lists: int = 4, block: int = 4096)
     def phase23(batches):
         for p in batches:
             for r in p.itertuples():
-                a, b, s = collect(*_vectors(r.qi, r.qv), *_vectors(r.xi, r.xv), np.frombuffer(r.cut, np.float64), lists)
-                yield pd.DataFrame({"query_id": a, "neighbour_id": b, "s": s})
+                (qi, q), (xi, x), cut = _vectors(r.qi, r.qv), _vectors(r.xi, r.xv), np.frombuffer(r.cut, np.float64)
+                for at in strips(len(qi)):
+                    a, b, s = collect(qi[at], q[at], xi, x, cut[at], lists)
+                    yield pd.DataFrame({"query_id": a, "neighbour_id": b, "s": s})
 
     # a tile is one row of some MB; the partitions of the shuffles are kept, a tile a record batch is too much to merge
     one = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
