@@ -187,3 +187,17 @@ def test_perplexity_awkward(spark):
     assert len(got) == len(awkward())
     assert all(not r.rejected for r in got if r.doc_id in (1, 2))
     assert perplexity.perplexity(empty(spark)).count() == 0
+
+
+def test_regular_junk_is_rejected(spark):
+    """Junk that is easy to predict byte for byte: tables, marks on each word, repeated words; short and plain texts stay."""
+    rng = random.Random(5)
+    good = [" ".join(w + rng.choice(["", "", "", "", "", ",", "."]) for w in words(rng, rng.randint(100, 300))) for _ in range(150)]
+    table = [" | ".join(words(rng, 150)) for _ in range(8)]
+    marks = [" ".join(w + rng.choice(["###", "%%%", "&&&"]) for w in words(rng, 150)) for _ in range(8)]
+    again = [" ".join(f"{w} " * 40 for w in words(rng, 4)).strip() for _ in range(8)]
+    plain = [" ".join(words(rng, 150)) for _ in range(3)] + ["Les.", "a | b"]
+    got = {r.doc_id: r.rejected for r in perplexity.perplexity(frame(spark, rows(good + plain + table + marks + again))).collect()}
+    kept = len(good) + len(plain)
+    assert [i for i in got if i <= kept and got[i]] == []
+    assert [i for i in got if i > kept and not got[i]] == []
