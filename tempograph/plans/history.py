@@ -50,9 +50,10 @@ def symbol_history(t: Tables):
 
 
 def _sides(t: Tables):
-    """Symbols from part: blocks of brand and container size, the earlier half against the later."""
+    """Symbols from part, in blocks of brand: the even keys against the odd ones, which together are the whole table."""
     p = t.part.select(F.col("p_brand").alias("block"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.concat(F.lit("["), F.col("p_type"), F.lit("]")).alias("signature"), F.sha2(F.concat_ws("|", "p_name", "p_type"), 256).alias("structural_hash"), F.col("p_type").alias("shape_hash"), X.lineage_tokens(F.col("p_type")).alias("features"), F.col("p_size").alias("node_count"), (F.col("p_size") % 7).alias("depth"), (F.col("p_size") % 3).alias("arity"), F.concat_ws(" ", "p_name", "p_type").alias("content"), F.split("p_type", " ").alias("references"), F.array(F.col("p_brand")).alias("changed_paths"))
-    return p.where("cast(id as long) % 10 = 0"), p.where("cast(id as long) % 10 = 1")
+    odd = F.col("id").cast("long") % 2 != 0
+    return p.where(~odd), p.where(odd)
 
 
 _TOK = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9_!?*-]+'), lambda z: z <> ''))"
