@@ -24,11 +24,12 @@ def resolve_targets(references: DataFrame, revisions: DataFrame) -> DataFrame:
     return x.withColumn("target", F.when(F.col("resolution") != "dynamic", F.coalesce("exact", "latest"))).drop("n1", "c1", "exact", "n2", "latest")
 
 
-def trace(edges: DataFrame, starts: DataFrame, sinks: list[str] = (), max_depth: int = 8, max_paths: int = 50, work=None) -> DataFrame:
+def trace(edges: DataFrame, starts: DataFrame, sinks: list[str] = (), max_depth: int = 8, max_paths: int | None = 50, work=None) -> DataFrame:
     """Paths (start, nodes, terminal, depth, position) over edges (source, ordinal, target, target_name, resolution), breadth first.
 
     A path ends at a sink, an uncertain edge (its resolution), an unresolved target, a cycle, a leaf, or max_depth; only
-    resolved and exact edges expand, and the sink test comes first. ``work.cut`` writes each level where it is given.
+    resolved and exact edges expand, and the sink test comes first. The first ``max_paths`` are kept, or all where it is
+    None; what doesn't read position then sorts nothing. ``work.cut`` writes each level where it is given.
     """
     e = edges.select("source", "ordinal", "target", "target_name", "resolution")
     has_out = e.select(F.col("source").alias("node")).distinct()
@@ -55,7 +56,9 @@ def trace(edges: DataFrame, starts: DataFrame, sinks: list[str] = (), max_depth:
     for d in done[1:]:
         out = out.unionByName(d)
     by = ["level", "start", "ord"]
-    return out.orderBy(*by).limit(max_paths).withColumn("position", F.row_number().over(W.orderBy(*by))).select("position", "start", "nodes", "terminal", F.col("level").alias("depth"))
+    if max_paths is not None:
+        out = out.orderBy(*by).limit(max_paths)
+    return out.withColumn("position", F.row_number().over(W.orderBy(*by))).select("position", "start", "nodes", "terminal", F.col("level").alias("depth"))
 
 
 def ancestors(edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:

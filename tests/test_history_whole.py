@@ -1,7 +1,9 @@
 """Queries of code history over small tables, against brute force over every row."""
 
 import re
+from collections import Counter
 
+from tempograph.operators import graph
 from tempograph.queries import QUERIES
 
 BRANDS, TYPES, NAMES = ["Brand#1", "Brand#2"], ["SMALL PLATED TIN", "SMALL PLATED BRASS", "LARGE BURNISHED TIN"], ["red bolt", "blue bolt", "green nut", "red nut", "plain cap"]
@@ -47,3 +49,31 @@ def test_fuzzy_lineage_takes_every_part(spark, tmp_path):
     assert {(r.from_id, r.to_id): r.status for r in run("fuzzy_ambiguity")} == {p: "resolved" if p in resolved else "candidate" for p in got}
     assert {(r.from_id, r.to_id) for r in run("lineage_split_merge")} == resolved
     assert {r.id for r in run("lineage_unmatched")} == {str(k) for k in range(0, 60, 2)} - {a for a, _ in resolved}
+
+
+def test_traces_take_every_customer(spark, tmp_path):
+    nations = [(i, n, i % 2) for i, n in enumerate(["JAPAN", "FRANCE", "KENYA", "PERU", "NATION_3"])]
+    customers = [(k, f"c{k}", k % 4, -1.0 if k % 3 == 0 else 1.0) for k in range(1, 121) if k % 4 != 3]
+    at = str(tmp_path)
+    spark.createDataFrame([(0,), (1,)], "r_regionkey int").write.parquet(f"{at}/region.parquet")
+    spark.createDataFrame(nations, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{at}/nation.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{at}/customer.parquet")
+    want = []
+    for n, name, region in nations:
+        own = sorted((k, debt) for k, _, m, debt in customers if m == n)
+        if name in ("JAPAN", "NATION_3"):
+            want.append((0, region, [n], "sink", f"r{region}>n{n}"))
+        elif not own:
+            want.append((1, region, [n], "leaf", f"r{region}>n{n}"))
+        for k, debt in own if name not in ("JAPAN", "NATION_3") else []:
+            want.append((1 if debt < 0 else 2, region, [n, k], "dynamic" if debt < 0 else "leaf", f"r{region}>n{n}>c{k}"))
+    got = {(r.start, r.terminal): r.paths for r in QUERIES["trace_terminals"](spark, at).collect()}
+    assert got == Counter((f"r{w[1]}", w[3]) for w in want)
+    paths = [(r.position, r.path) for r in QUERIES["trace_paths"](spark, at).orderBy("position").collect()]
+    assert paths == [(i, w[4]) for i, w in enumerate(sorted(want)[:50], 1)]
+
+
+def test_a_count_has_no_limit(spark, tmp_path):
+    e = spark.range(200).selectExpr("'a' AS source", "cast(id AS int) AS ordinal", "concat('b', id) AS target", "'b' AS target_name", "'resolved' AS resolution")
+    s = spark.createDataFrame([("a",)], "id string")
+    assert graph.trace(e, s).count() == 50 and graph.trace(e, s, max_paths=None).count() == 200
