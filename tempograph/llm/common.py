@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,27 @@ class Work:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_model: dict = {}
+
+
+def release() -> None:
+    """Frees the model that this Python worker holds. Every function that runs in a worker without one calls it, as workers outlive their tasks."""
+    if _model:
+        _model.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library keeps its free memory
+            pass
+
+
+def held(key: tuple, make: Callable):
+    """The model of that key; a worker holds one at a time, whichever operator it is of."""
+    if key not in _model:
+        release()
+        _model[key] = make()
+    return _model[key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,9 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
 
 from tempograph.llm import near_dedup, substring_dedup
 
-from .helpers import LONG, awkward, empty, frame, rows
+from .helpers import awkward, empty, frame, rows
 
 
 def words(n, seed):
@@ -83,28 +85,118 @@ def test_near_awkward(spark):
     assert near_dedup.near_dedup(empty(spark)).count() == 0 and near_dedup.keep_first(empty(spark)).count() == 0
 
 
+PASSAGE = [f"p{i}{'.' if i % 9 == 8 else ''}" for i in range(55)]
+
+
+def host(n, seed):
+    return " ".join(f"h{seed}x{i}" for i in range(n))
+
+
+def brute_units(text):
+    """[first word's start, words], by the definition, a character at a time."""
+    tok, i = [], 0
+    while i < len(text):
+        c = text[i]
+        solo = "\u0e00" <= c <= "\u0eff" or "\u3000" <= c <= "\ud7ff"
+        if solo:
+            tok.append([i, c, ""])
+        elif (c.isascii() and c.isalnum()) or not c.isascii():
+            if tok and not tok[-1][2] and tok[-1][0] + len(tok[-1][1]) == i and not ("\u0e00" <= tok[-1][1][-1] <= "\u0eff" or "\u3000" <= tok[-1][1][-1] <= "\ud7ff"):
+                tok[-1][1] += c
+            else:
+                tok.append([i, c, ""])
+        elif tok:
+            tok[-1][2] += c
+        i += 1
+    out, cur = [], None
+    for j, (at, w, gap) in enumerate(tok):
+        w = w.lower()
+        cur = cur or [at, []]
+        cur[1].append(w)
+        ends = any(c in ".!?" for c in gap)
+        before = j > 0 and any(c in ".!?" for c in tok[j - 1][2])
+        few = hashlib.md5(w.encode()).hexdigest()[0] in "01" and (j == 0 or tok[j - 1][1].lower() != w)
+        if few or (ends and not before) or j == len(tok) - 1:
+            out.append((cur[0], tuple(cur[1])))
+            cur = None
+    return out
+
+
+def brute_dedup(docs, least=30):
+    """{doc_id: (text, n_removed, kept)} for distinct doc_ids that aren't null."""
+    first, out = {}, {}
+    for i, t in sorted(docs):
+        for x, (_, u) in enumerate(brute_units(t or "")):
+            first.setdefault(u, (i, x))
+    for i, t in docs:
+        un = brute_units(t or "")
+        rep = [first[u] != (i, x) for x, (_, u) in enumerate(un)]
+        gone, a = [], 0
+        while a < len(un):
+            b = a
+            while b < len(un) and rep[b] == rep[a]:
+                b += 1
+            if rep[a] and sum(len(u) for _, u in un[a:b]) >= least:
+                gone.append((un[a][0], un[b][0] if b < len(un) else len(t), b - a))
+            a = b
+        at, keep = 0, []
+        for a, b, _ in gone:
+            if a > at:
+                keep.append((at, a))
+            at = b
+        if t and at < len(t):
+            keep.append((at, len(t)))
+        out[i] = ("".join(t[a:b] for a, b in keep) if gone else t, sum(g[2] for g in gone), ",".join(f"{a}-{b}" for a, b in keep))
+    return out
+
+
+def dedup(spark, data):
+    return {r.doc_id: (r.text, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(frame(spark, data)).collect()}
+
+
+def test_substring_matches_brute_force(spark):
+    p = " ".join(PASSAGE)
+    wrapped = "\n".join(" ".join(PASSAGE[i : i + 6]) for i in range(0, 55, 6))
+    cjk = "".join(chr(0x4E00 + (i * 37) % 900) for i in range(80))
+    thai = "".join(chr(0x0E01 + i % 40) for i in range(50))
+    texts = [f"{host(20, 1)} {p} {host(9, 2)}", f"{host(30, 3)} {wrapped.upper()}\n{host(12, 4)}", f"{host(5, 5)}, {p}", "Licensed under the licence. " + host(40, 6), "Licensed under the licence. " + host(40, 7)]
+    texts += [host(4, 8) + cjk + host(3, 9), cjk + "。", f"{p} x {p}", "!! ".join(f"W{i % 7}" for i in range(200)), "word " * 300, thai + "é" + cjk, "K\u212a \u0130stanbul " + p, "", "...", None]
+    rng = np.random.default_rng(3)
+    texts += [" ".join(rng.choice(["aa", "bb", "cc.", "dd", "\u00e9\u00e9!", "\u4f60", "ff\n"], 120)) for _ in range(12)]
+    got = dedup(spark, rows(texts))
+    want = brute_dedup(list(enumerate(texts, 1)))
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    assert got[1][1] == 0 and all(got[i][1] > 0 for i in (2, 3, 7, 8, 12)) and got[4][1] == got[5][1] == 0
+    assert "p30" not in got[2][0].lower() and got[2][0].startswith(host(30, 3))
+
+
 def test_substring_awkward(spark):
     d = frame(spark)
     got = {(r.doc_id, r.text, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(d).collect()}
-    line = "one two three four five six seven eight nine ten"
-    assert (4, line + "\nsecond line here", 0, f"0-{len(line) + 17}") in got
-    assert (5, "second line here", 1, f"{len(line) + 1}-{len(line) + 17}") in got
-    assert (None, "second line here", 1, f"{len(line) + 1}-{len(line) + 17}") in got
-    assert (2, None, 0, "") in got and (1, "", 0, "") in got and (6, LONG, 0, f"0-{len(LONG)}") in got
+    line = "one two three four five six seven eight nine ten\nsecond line here"
+    assert (4, line, 0, f"0-{len(line)}") in got and (5, line, 0, f"0-{len(line)}") in got and (None, line, 0, f"0-{len(line)}") in got
+    assert (2, None, 0, "") in got and (1, "", 0, "") in got
     assert substring_dedup.substring_dedup(d).count() == len(awkward())
     kept = substring_dedup.drop_repeats(d)
-    assert kept.columns == d.columns and kept.dtypes == d.dtypes
-    assert {r.n_chars for r in kept.where("doc_id = 5").collect()} == {16}
+    assert kept.columns == d.columns and kept.dtypes == d.dtypes and kept.count() == len(awkward())
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0 and substring_dedup.drop_repeats(empty(spark)).count() == 0
 
 
-def test_whole_copies_go_and_offsets_are_of_the_original(spark):
-    t = "a b c d e f g h i\nshort\nj k l m n o p q r s"
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, rows([t, t, "a b c d e f g h i\n" + "new line"]))).collect()}
-    assert got[1].n_removed == 0 and got[2].text == "short" and got[2].kept == "18-24"
-    assert t[18:24] == "short\n" and got[3].text == "new line"
-    only = "a b c d e f g h i"
-    assert {r.doc_id for r in substring_dedup.drop_repeats(frame(spark, rows([only, only]))).collect()} == {1}
+def test_null_and_equal_ids(spark):
+    p = " ".join(PASSAGE)
+    null = (None, p + " tail", *rows([""])[0][2:])
+    other = (3, "front " + p, *rows([""])[0][2:])
+    # null ids rank last and take nothing from each other; so do rows with one id
+    got = [(r.doc_id, r.n_removed > 0) for r in substring_dedup.substring_dedup(frame(spark, [null, null])).collect()]
+    assert got == [(None, False)] * 2
+    got = sorted((r.doc_id or 0, r.n_removed > 0) for r in substring_dedup.substring_dedup(frame(spark, [null, other, other, (3, p, *other[2:]), (7, p, *other[2:])])).collect())
+    assert got == [(0, True), (3, False), (3, False), (3, False), (7, True)]
+
+
+def test_whole_copies_go(spark):
+    p = " ".join(PASSAGE)
+    kept = {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.drop_repeats(frame(spark, rows([p, p, "new start. " + p]))).collect()}
+    assert set(kept) == {1, 3} and kept[1] == (p, len(p)) and kept[3][1] == len(kept[3][0]) < 60
 
 
 @pytest.mark.parametrize("k", [1, 3])
