@@ -1,19 +1,25 @@
 import numpy as np
+import pytest
 
 from tempograph.llm import chat, topk
 
 
-def test_topk_is_brute_force(spark):
+@pytest.mark.parametrize("every, limit, level", [(1, 0, 2), (50, 32 << 20, 512)])
+def test_topk_is_brute_force(spark, monkeypatch, every, limit, level):
+    """Tiles joined on both sides and sums that meet in two steps; and queries that are broadcast."""
+    monkeypatch.setattr(topk, "BROADCAST", limit)
+    monkeypatch.setattr(topk, "LEVEL", level)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
     x[7] = x[3]  # a tie
     df = spark.createDataFrame([(i, [float(v) for v in r], 0, 1.0) for i, r in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int, similarity double")
     got = {}
-    for r in topk.nearest(df, k=5, block=64).collect():
+    for r in topk.nearest(df, k=5, block=64, every=every).collect():
         got.setdefault(r.query_id, {})[r.rank] = r.neighbour_id
     y = x.astype(np.float32).astype(float)
     y /= np.sqrt((y * y).sum(axis=1))[:, None]
-    for i in range(300):
+    assert sorted(got) == list(range(0, 300, every))
+    for i in got:
         s = np.array([np.dot(y[i], y[j]) for j in range(300)])
         want = sorted((j for j in range(300) if j != i), key=lambda j: (-round(s[j], 12), j))[:5]
         assert [got[i][k] for k in range(1, 6)] == want
@@ -23,7 +29,7 @@ def test_topk_awkward(spark):
     nan = float("nan")
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (9, [None, 1.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    assert sorted((r.query_id, r.rank, r.neighbour_id) for r in topk.nearest(df).collect()) == [(1, 1, 2), (2, 1, 1)]
+    assert sorted((r.query_id, r.rank, r.neighbour_id) for r in topk.nearest(df, every=1).collect()) == [(1, 1, 2), (2, 1, 1)]
     assert topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
