@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import slices, span_hash, utf8
+from .common import held, slices, span_hash, utf8
 from .pretoken import cuts, load_ranks
 from .token_count import VOCABULARY
 
@@ -170,13 +170,8 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before - first, count)
 
 
-_loaded: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+    return held(("codec", path), lambda: Codec(path))
 
 
 #: Bytes of text in one step; bounds a worker's memory.

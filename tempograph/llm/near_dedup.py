@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 from pyspark.sql.functions import arrow_udf
 
-from .common import U64, Work, mix, slices, utf8, words
+from .common import U64, Work, mix, release, slices, utf8, words
 
 SMALL = 8
 ORDER = 2
@@ -91,6 +91,7 @@ def sketch(v: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
 
 def _facts(m: int, k: int):
     def facts(text: pa.Array) -> pa.Array:
+        release()
         data, off = utf8(text)
         digests, counts, values, lens = [], [], [], []
         for lo, hi in slices(off):
@@ -197,6 +198,7 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, cells:
 
 def _similar(threshold: float):
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
+        release()
         res = np.zeros(len(x), bool)
         (dx, ox), (dy, oy) = utf8(x), utf8(y)
         for lo, hi in slices(ox + oy):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import _WORD, U64, Work, mix, slices, span_hash, utf8, words
+from .common import _WORD, U64, Work, held, mix, release, slices, span_hash, utf8, words
 
 ORDER = 5
 HELD = 8
@@ -63,11 +63,12 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """(g, k, c): counts of all n-grams of a partition's texts."""
+    release()
     names: dict[str, int] = {}
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, c = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        k, c = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
         order = np.argsort(k)
         k, c = k[order], c[order]
         first = np.flatnonzero(np.diff(k, prepend=-1))
@@ -79,10 +80,10 @@ def _count(batches):
         for lo, hi in slices(off, STEP):
             key, first = grams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             key += np.repeat(lang[lo:hi] << 40, np.diff(first))
-            held.append(np.unique(key, return_counts=True))
-            if sum(len(k) for k, _ in held) > 1 << 21:
-                held[:] = [merged()]
-    if held:
+            parts.append(np.unique(key, return_counts=True))
+            if sum(len(k) for k, _ in parts) > 1 << 21:
+                parts[:] = [merged()]
+    if parts:
         k, c = merged()
         by = list(names)
         for i in range(0, len(k), 1 << 18):
@@ -105,6 +106,7 @@ def gaps(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_gaps(batches):
     """(g, k, c): counts of what stands between words, a step at a time."""
+    release()
     for b in batches:
         data, off = utf8(b.column(1))
         langs = np.array(b.column(0).to_pylist(), object)
@@ -186,13 +188,11 @@ class Table:
         return out
 
 
-_held: OrderedDict = OrderedDict()
-
-
 def language(path: str, g: str) -> dict[int, Table]:
-    if (path, g) in _held:
-        _held.move_to_end((path, g))
-        return _held[path, g]
+    models = held(("perplexity", path), OrderedDict)
+    if g in models:
+        models.move_to_end(g)
+        return models[g]
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -203,9 +203,9 @@ def language(path: str, g: str) -> dict[int, Table]:
         x = ds.dataset(where, filesystem=files, format="parquet").to_table(columns=["t", "k", "v"])
         t, k, v = (x.column(c).to_numpy() for c in ("t", "k", "v"))
         out = {int(i): Table(k[t == i], v[t == i].astype(np.float32)) for i in np.unique(t)}
-    _held[path, g] = out
-    while len(_held) > HELD:
-        _held.popitem(last=False)
+    models[g] = out
+    while len(models) > HELD:
+        models.popitem(last=False)
     return out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import Work, utf8
+from .common import Work, release, utf8
 
 RUN = r"[A-Za-z0-9+/_\-]{%d,}"
 #: What makes a run a candidate, for the JVM and for Python alike.
@@ -92,6 +92,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     """Frequencies of a to z over all texts, each letter with one count more."""
 
     def letters(text: pa.Array) -> pa.Array:
+        release()
         n = np.zeros((len(text), 26), np.int64)
         data, _ = utf8(text)
         if len(text):
@@ -116,6 +117,7 @@ def model(docs: DataFrame, min_len: int = 16, fdr: float = 0.01) -> dict:
     mean = float(total.mean)
 
     def keys(s: pa.Array) -> pa.Array:
+        release()
         s = s.to_pylist()
         return pa.array(key(p_values(s, letters)[1], np.array([len(x) for x in s]) / mean))
 
@@ -159,6 +161,7 @@ def redact(docs: DataFrame, m: dict, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret replaced by ``mark`` and n_chars set to match; no row goes."""
 
     def cut(text: pa.Array) -> pa.Array:
+        release()
         out = []
         for x in text.to_pylist():
             hits = [h for h in scan_text(x, m) if h["secret"]] if x else []

@@ -5,7 +5,8 @@ change of the emitted-token count. It rests on two facts on byte-pair encoding:
 shorter prefix plus one token, and two tokens may be neighbours exactly if the pair encodes to itself. A state is the
 longest suffix that begins a vocabulary token, with, for each such suffix, the last token before it and its count
 relative to the whole: all that later bytes can depend on. States and transitions are compiled when first met, and a
-worker keeps them; past ``MAX_STATES`` they are dropped between two batches and compiled anew.
+worker keeps them; past ``MAX_STATES`` they are dropped between two batches and compiled anew. Another operator's function in
+the same worker frees them (common.release).
 
 The splitter (pretoken.py) is a transducer of its own; its chunk maps are composed by a parallel prefix scan. A piece's
 start resets the byte transducer, so a chunk that begins there has a constant state map: chunks of all texts run side by
@@ -24,12 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import slices, utf8
+from .common import held, slices, utf8
 from .pretoken import cuts, load_ranks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MAX_STATES = 500_000
-LANE = 512
+MAX_STATES = 400_000
+MAX_PAIRS = 1 << 19
+LANE = 128
+#: Bytes of text in one step; bounds a worker's memory.
+STEP = 1 << 20
+#: What a state's signature and a transition's change of the count can hold.
+MAX_TOKEN, MAX_CHANGE = 255, 15
 _LIVE = struct.Struct("<Bib")
 PACK, UNPACK = _LIVE.pack, _LIVE.iter_unpack
 
@@ -39,7 +45,11 @@ class Transducer:
         self.ranks = load_ranks(path)
         self.by_rank = {r: t for t, r in self.ranks.items()}
         self.prefixes = {t[:i] for t in self.ranks for i in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        if max(map(len, self.ranks), default=0) > MAX_TOKEN or max(self.by_rank, default=0) >= 1 << 31:
+            raise ValueError(f"tokens of at most {MAX_TOKEN} bytes and ranks under 2^31 are supported")
+        if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
+            raise ValueError(f"bytes without a token: {missing[:5]}")
+        self.pairs: dict[int, bool] = {}
         self.single: dict[int, bool] = {}
         self.reset()
 
@@ -123,11 +133,12 @@ class Transducer:
             if ok is None:
                 ok = self.single[b] = self.merge(self.by_rank[b]) == [b]
             return ok
-        ok = self.pairs.get((a, b))
+        key = a << 31 | b
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(self.by_rank[a] + self.by_rank[b]) == [a, b]
+            ok = self.pairs[key] = self.merge(self.by_rank[a] + self.by_rank[b]) == [a, b]
         return ok
 
     def compile(self, key: int) -> None:
@@ -147,6 +158,8 @@ class Transducer:
                 keep.append((d + 1, before, rel))
         live = [(d, before, rel - count) for d, before, rel in keep]
         suffix = suffix[n - max((d for d, _, _ in keep), default=0) :]
+        if not -MAX_CHANGE <= count <= MAX_CHANGE:
+            raise ValueError("a byte changes the count by more than a transition can hold")
         self.put(key, self.state(suffix, [*live, (0, last, 0)]) * 32 + count + 16)
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -165,8 +178,8 @@ class Transducer:
         length = np.diff(np.append(start, len(data)))
         order = np.argsort(-length, kind="stable")
         start, owner, length = start[order], owner[order], length[order]
-        sym = data.astype(np.int64)
-        keep = np.full(len(data), -1, np.int64)
+        sym = data
+        keep = np.full(len(data), -1, np.int8)
         keep[cut] = 0  # a piece starts anew
         state, total, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), start
         for j in range(int(length[0])):
@@ -180,13 +193,8 @@ class Transducer:
         return np.bincount(owner, weights=total, minlength=n).astype(np.int64)
 
 
-_loaded: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    if path not in _loaded:
-        _loaded[path] = Transducer(path)
-    return _loaded[path]
+    return held(("transducer", path), lambda: Transducer(path))
 
 
 def counter(path: str = VOCABULARY):
@@ -196,7 +204,7 @@ def counter(path: str = VOCABULARY):
         t = transducer(path)
         data, off = utf8(text)
         out = np.zeros(len(off) - 1, np.int64)
-        for lo, hi in slices(off, 1 << 21):
+        for lo, hi in slices(off, STEP):
             out[lo:hi] = t.counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         return pa.array(out, mask=text.is_null().to_numpy(zero_copy_only=False))
 

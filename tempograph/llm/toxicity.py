@@ -25,23 +25,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 from pyspark.sql.functions import arrow_udf
 
-from .common import U64, Work, mix, slices, utf8, words
+from .common import U64, Work, mix, release, slices, utf8, words
 
 POOLED = "*"
 
 
 def _contexts(text: pa.Array) -> pa.Array:
+    """For each text its distinct (word, context) hashes, some texts at a time."""
+    release()
     data, off = utf8(text)
-    _, _, h, first = words(data, off)
-    with np.errstate(over="ignore"):
-        prev, nxt = np.zeros_like(h), np.zeros_like(h)
-        prev[1:], nxt[:-1] = h[:-1], h[1:]
-        prev[first[:-1][first[:-1] < len(h)]] = 0
-        ends = first[1:][first[1:] > first[:-1]] - 1
-        nxt[ends] = 0
-        ctx = mix(prev * U64(3) ^ mix(h ^ mix(nxt + U64(7))))
-    items = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], ["w", "c"])
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), items)
+    w, c, count = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for lo, hi in slices(off):
+        _, _, h, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        doc = np.repeat(np.arange(hi - lo), np.diff(first))
+        with np.errstate(over="ignore"):
+            prev, nxt = np.zeros_like(h), np.zeros_like(h)
+            prev[1:], nxt[:-1] = h[:-1], h[1:]
+            prev[first[:-1][first[:-1] < len(h)]] = 0
+            ends = first[1:][first[1:] > first[:-1]] - 1
+            nxt[ends] = 0
+            ctx = mix(prev * U64(3) ^ mix(h ^ mix(nxt + U64(7))))
+            one = np.sort(np.unique(mix(ctx + mix(doc.astype(U64))), return_index=True)[1])
+        w.append(h[one])
+        c.append(ctx[one])
+        count.append(np.bincount(doc[one], minlength=hi - lo))
+    items = pa.StructArray.from_arrays([pa.array(np.concatenate(w).view(np.int64)), pa.array(np.concatenate(c).view(np.int64))], ["w", "c"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(count).cumsum().astype(np.int32)), items)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, prior: float = 500.0, z_min: float = 4.0, effect_min: float = 1.0) -> dict:
@@ -127,6 +136,7 @@ def scorer(model: dict, p_max: float = 0.05):
     tables = {g: (*m, np.bincount((m[0] & U64(bits - 1)).astype(np.int64), minlength=bits) > 0) for g, m in model.items()}
 
     def score(text: pa.Array, lang: pa.Array) -> pa.Array:
+        release()
         data, off = utf8(text)
         langs = lang.to_pylist()
         n = len(off) - 1
