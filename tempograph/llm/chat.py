@@ -8,8 +8,8 @@ each first line opens a turn. A turn is rendered as <|role|>, its text without t
 
 Defined results: null and empty transcripts have no turn and render as ''. Turns with null or blank text are not part of
 a transcript. Lines of unknown or null role are not counted. Ties go to the first state in order. Repeated rows (same
-conv_id and turn) are turns of their own, in order of role and text. A null conv_id is one more conversation. Extra columns
-are not in the result.
+conv_id and turn) are turns of their own, in order of role and text. Turns with a null conv_id are conversations
+of one turn each; conv_id is of an integer type. Extra columns are not in the result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import integral
+
 ROLES = ("system", "user", "assistant", "tool")
 STATES = [(r, k) for r in ROLES for k in "BI"]
 NAMES = {"system": "system", "instruction": "system", "instructions": "system", "user": "user", "human": "user", "q": "user", "question": "user", "prompt": "user", "customer": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "model": "assistant", "a": "assistant", "answer": "assistant", "agent": "assistant", "gpt": "assistant", "tool": "tool", "function": "tool", "observation": "tool"}
@@ -123,8 +125,10 @@ STYLES = [{}, {"system": "System: ", "user": "User: ", "assistant": "Assistant:
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """(conv_id, style, text, roles): each conversation as one raw text. By its hash it has no marker, or those of one of STYLES; roles: of each line that isn't blank."""
+    integral(conversations, "conv_id")
     c = conversations.select("conv_id", F.struct("turn", "role", "text").alias("t")).where(F.length(F.trim("t.text")) > 0)
-    c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    alone = c.where("conv_id is null").select("conv_id", F.array("t").alias("t"))
+    c = c.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).unionByName(alone)
     c = c.withColumn("style", F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int"))
 
     def build(batches):

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
@@ -74,6 +74,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def integral(df: DataFrame, name: str) -> None:
+    """Refuses ids that aren't integers: a cast would fail in the middle of a job, or make them null."""
+    if not isinstance(df.schema[name].dataType, T.IntegralType):
+        raise ValueError(f"{name} must be of an integer type, not {df.schema[name].dataType.simpleString()}")
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

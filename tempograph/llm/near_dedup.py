@@ -5,16 +5,18 @@ each of m hash functions the l smallest k-mers, in text order, make one value; i
 similarity, as both the shared k-mers and their order count. Each of the m values is a band.
 
 1. Documents with equal word sequences are one node, the smallest doc_id.
-2. A bucket is a band's value shared by several nodes. Buckets of up to SMALL nodes give all their pairs; a larger one
-   gives each member's pair with its smallest node, which joins a family of copies of whatever size. Where members of a
-   large bucket are then still in several groups (a passage shared by many documents puts them there), one of each group
-   goes on: up to SMALL of them give all their pairs, more are put into buckets by a further band as well, and so on
-   until no bucket is large. So no bucket is cut off, and none gives a quadratic number of pairs.
-   Pairs whose lengths alone put them under the threshold are not candidates.
-3. Pairs are verified by banded alignment of the word sequences (edit distance at most (1 - threshold) * longer length;
+2. A bucket is a band's value shared by several nodes. Buckets of up to SMALL nodes give all their pairs; a crowded one
+   gives each member's pair with its smallest node, which joins a family of copies of whatever size. Pairs whose lengths
+   alone put them under the threshold are not candidates.
+3. What is in a crowded bucket (a passage that many documents share puts them there) is searched exactly, whatever bands a
+   pair shares: texts of n words within the edit distance have at least 0.8 n of them in common, so the rarest
+   n - 0.8 n + 1 words (labelled by occurrence; one order for all) of two such texts meet in a word. Lists of these words
+   are compared in blocks: pairs of two groups whose lengths and word histograms allow the distance are candidates. So no
+   pair that shares a band is left out, none within a group is made, and SMALL only chooses the way.
+4. Pairs are verified by banded alignment of the word sequences (edit distance at most (1 - threshold) * longer length;
    the band doubles until it holds the distance). Pairs inside one group already need no verification: first each node's
    best pair, then each group's best pair, then all that still join two groups.
-4. Groups are the connected components of the verified pairs, by alternating large-star and small-star.
+5. Groups are the connected components of the verified pairs, by alternating large-star and small-star.
 
 Defined results: null texts, texts without a word and null doc_ids are in no group. Rows with the same doc_id are one
 document if their words are equal; of several texts under one doc_id, any may link it. Ties go to the smallest doc_id.
@@ -34,6 +36,10 @@ from .common import U64, Work, mix, release, slices, utf8, words
 
 SMALL = 8
 ORDER = 2
+#: Counters of word frequencies, buckets of a text's word histogram, texts in a block.
+COUNTERS = 1 << 16
+HISTOGRAM = 128
+BLOCK = 256
 FACTS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
@@ -242,8 +248,8 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
     same = work.cut(same)
     node = work.cut(node.select("r.*"))
     work.drop(facts)
-    rows = node.select(F.struct("id", "n").alias("d"), F.posexplode("bands").alias("last", "v")).withColumn("key", F.xxhash64("last", "v"))
-    rows = work.cut(_buckets(rows.select("key", "last", "d")))
+    rows = node.select(F.struct("id", "n").alias("d"), F.posexplode("bands").alias("band", "v"))
+    rows = work.cut(_buckets(rows.select(F.xxhash64("band", "v").alias("key"), "d")))
     near = F.least("d.n", "q.n") >= F.greatest("d.n", "q.n") * threshold - 1e-6
 
     def candidates(buckets: DataFrame) -> DataFrame:
@@ -252,10 +258,9 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
         return x.groupBy(F.least("d.id", "q.id").alias("a"), F.greatest("d.id", "q.id").alias("b")).agg(F.count("*").alias("c"))
 
     pairs = work.cut(candidates(rows))
-    large = work.cut(rows.where(F.col("c") > SMALL).select("key", "last", "d"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("crowded")).unionByName(rows.where(F.col("c") > SMALL).select("d.id", F.lit(True).alias("crowded")))
+    texts = work.cut(text.join(ids.groupBy("id").agg(F.max("crowded").alias("crowded")), "id").dropDuplicates(["id"]))
     work.drop(rows)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("d.id")).distinct()
-    texts = work.cut(text.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
     def verify(p: DataFrame) -> DataFrame:
         p = work.cut(p.select("a", "b"))  # its size is then known before the plan is made: few pairs are broadcast, and the texts stay where they are
@@ -271,20 +276,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
             pick = F.struct("c", -F.col("a"), -F.col("b"))
             cross = cross.groupBy("gb").agg(F.max_by(F.struct("a", "b"), pick).alias("p")).select("p.a", "p.b")
         tested, label = _merge(work, tested, verify(cross), label)
-    level = 1
-    while not large.isEmpty():  # buckets whose members aren't all compared with each other
-        level += 1
-        mem = large.join(label, large["d.id"] == label["id"], "left").groupBy("key", "last", F.coalesce("g", "d.id").alias("g")).agg(F.min("d").alias("d"))
-        mem = work.cut(_buckets(mem.select("key", "last", "d")))
-        split = mem.where(F.col("c") > SMALL).select("key", "last", "d").join(node.select("id", "bands"), F.col("d.id") == F.col("id")).select("key", "last", "d", F.posexplode("bands").alias("j", "v"))
-        split = split.where("j <> last" if level == 2 else "j > last").select(F.xxhash64("key", "v").alias("key"), F.col("j").alias("last"), "d")
-        split = work.cut(_buckets(split))
-        new = candidates(mem.where(F.col("c") <= SMALL)).unionByName(candidates(split)).select("a", "b").distinct()
-        new = verify(new.join(tested, ["a", "b"], "left_anti"))
-        nxt = work.cut(split.where(F.col("c") > SMALL).select("key", "last", "d"))
-        work.drop(large, mem, split)
-        tested, label = _merge(work, tested, new, label)
-        large = nxt
+    crowd = texts.where("crowded")
+    if not crowd.isEmpty():
+        new = _crowded(work, crowd, label, threshold)
+        tested, label = _merge(work, tested, verify(new.join(tested, ["a", "b"], "left_anti")), label)
     links = label.select(F.col("g").alias("a"), F.col("id").alias("b")).unionByName(same.select(F.col("g").alias("a"), F.col("id").alias("b")))
     out = components(work, links)
     work.drop(label, same, tested, pairs, texts, node)
@@ -292,10 +287,112 @@ def groups(docs: DataFrame, threshold: float = 0.8, m: int = 20, k: int = 3) ->
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows (key, last, d) of the buckets with two members or more, with the size c, the smallest member s and up to SMALL - 1 members before this one, p."""
-    by = W.partitionBy("key", "last")
+    """Rows (d) of the buckets with two members or more, with the size c, the smallest member s and up to SMALL - 1 members before this one, p."""
+    by = W.partitionBy("key")
     order = by.orderBy("d")
-    return rows.select("key", "last", "d", F.count("*").over(by).alias("c"), F.min("d").over(by).alias("s"), F.array(*[F.lag("d", j).over(order) for j in range(1, SMALL)]).alias("p")).where("c > 1")
+    return rows.select("d", F.count("*").over(by).alias("c"), F.min("d").over(by).alias("s"), F.array(*[F.lag("d", j).over(order) for j in range(1, SMALL)]).alias("p")).where("c > 1")
+
+
+def _counted(batches):
+    """(k, c): a partition's words by the hash of each, in COUNTERS counters."""
+    release()
+    total = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        data, off = utf8(b.column(0))
+        for lo, hi in slices(off):
+            _, _, h, _ = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            total += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    k = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "c"])
+
+
+RARE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("hist", T.BinaryType()), T.StructField("ws", T.ArrayType(T.LongType()))])
+
+
+def _rarest(counts: np.ndarray, threshold: float):
+    """Of each text: number of words, histogram (one byte a bucket, 255 for more), and the rarest words, of which two texts within the threshold share one."""
+
+    def rarest(text: pa.Array) -> pa.Array:
+        release()
+        data, off = utf8(text)
+        n_all, hists, ws, lens = [np.zeros(0, np.int64)], [], [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+        for lo, hi in slices(off):
+            _, _, h, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            n = np.diff(first)
+            doc = np.repeat(np.arange(hi - lo), n)
+            hist = np.bincount(doc * HISTOGRAM + (h >> U64(40)).astype(np.int64) % HISTOGRAM, minlength=(hi - lo) * HISTOGRAM)
+            hists += np.minimum(hist, 255).astype(np.uint8).reshape(hi - lo, HISTOGRAM).tolist()
+            v, _ = kmers(h, first, 1)
+            need = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+            order = np.lexsort((v, counts[(h & U64(COUNTERS - 1)).astype(np.int64)], doc))
+            rank = np.arange(len(v)) - first[doc]
+            ws.append(v[order][rank < need[doc]])
+            lens.append(need)
+            n_all.append(n)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(lens).cumsum().astype(np.int32)), pa.array(np.concatenate(ws).view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(n_all).astype(np.int32)), pa.array([bytes(x) for x in hists], pa.binary()), lists], ["n", "hist", "ws"])
+
+    return arrow_udf(rarest, RARE)
+
+
+def _across(threshold: float):
+    """Of two blocks of texts (id, g, n, hist): the pairs of different groups that may be within the threshold. Edit distance k changes a histogram by 2 k at most, so none that is within is left out."""
+
+    def across(x: pa.Array, y: pa.Array) -> pa.Array:
+        release()
+
+        def side(a: pa.Array):
+            v = a.flatten()
+            i, g, n = (v.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            raw = b"".join(v.field(3).to_pylist())
+            return a.offsets.to_numpy() - a.offsets[0].as_py(), i, g, n.astype(np.int64), np.frombuffer(raw, np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
+
+        (ox, ix, gx, nx, hx), (oy, iy, gy, ny, hy) = side(x), side(y)
+        out, lens = [np.zeros((0, 2), np.int64)], [0]
+        for r in range(len(x)):
+            a, b = slice(ox[r], ox[r + 1]), slice(oy[r], oy[r + 1])
+            longer = np.maximum(nx[a][:, None], ny[b][None, :])
+            limit = ((1 - threshold) * longer + 1e-9).astype(np.int64)
+            ok = (gx[a][:, None] != gy[b][None, :]) & (np.abs(nx[a][:, None] - ny[b][None, :]) <= limit)
+            p, q = np.nonzero(ok)
+            for s in range(0, len(p), 1 << 14):  # some pairs at a time, as a histogram has many buckets
+                at = slice(s, s + (1 << 14))
+                near = np.abs(hx[a][p[at]] - hy[b][q[at]]).sum(axis=1, dtype=np.int64) <= 2 * limit[p[at], q[at]]
+                ok[p[at], q[at]] = near
+            p, q = np.nonzero(ok)
+            ids = np.stack([ix[a][p], iy[b][q]], axis=1)
+            ids.sort(axis=1)
+            out.append(np.unique(ids, axis=0))
+            lens.append(len(out[-1]))
+        flat = np.concatenate(out)
+        pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(lens).astype(np.int32)), pairs)
+
+    return arrow_udf(across, T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
+
+
+def _crowded(work: Work, crowd: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of texts (id, x) of crowded buckets that are in different groups and may be within the threshold."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in crowd.select("x").mapInArrow(_counted, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toLocalIterator():  # at most COUNTERS rows
+        counts[r.k] = r.c
+    own = work.cut(crowd.select("id", _rarest(counts, threshold)("x").alias("r")).select("id", "r.*"))
+    own = own.join(label, "id", "left").withColumn("g", F.coalesce("g", "id"))
+    rows = own.select("id", "g", F.explode("ws").alias("w"))
+    each = rows.groupBy("w", "g").agg(F.count("*").alias("own"))
+    lists = each.groupBy("w").agg(F.sum("own").alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("w", "c")
+    # a group that fills blocks has its own ones, which needn't meet each other; the rest is spread over mixed ones
+    rows = rows.join(lists, "w").join(each.where(F.col("own") >= BLOCK), ["w", "g"], "left")
+    spread = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("own", "c") / BLOCK))
+    rows = rows.select("w", "id", F.when(F.col("own").isNotNull(), F.col("g")).alias("pure"), spread.alias("k"), (F.col("c") > BLOCK).alias("many"))
+    rows = rows.join(own.select("id", "g", "n", "hist"), "id")
+    blocks = work.cut(rows.groupBy("w", "pure", "k", "many").agg(F.collect_list(F.struct("id", "g", "n", "hist")).alias("m")))
+    x = blocks.where("pure is null").select(F.col("m").alias("x"), F.col("m").alias("y"))
+    side = lambda v, i: blocks.where("many").select("w", F.struct(F.col("pure").isNull().alias("mixed"), "pure", "k").alias(f"b{i}"), F.col("m").alias(v))
+    apart = (F.col("b1") < F.col("b2")) & ~F.coalesce(F.col("b1.pure") == F.col("b2.pure"), F.lit(False))
+    x = x.unionByName(side("x", 1).join(side("y", 2), "w").where(apart).select("x", "y"))
+    found = x.select(F.explode(_across(threshold)("x", "y")).alias("p")).select("p.a", "p.b")
+    return work.cut(found.where("a < b").distinct())
 
 
 def _cross(pairs: DataFrame, label: DataFrame) -> DataFrame:

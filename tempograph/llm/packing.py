@@ -7,7 +7,7 @@ are opened as its tokens need at least; pieces in descending order (ties by doc_
 lowest cost that has room (ties to the first opened), and a further sequence opens where none has room.
 
 Defined results: null and empty texts have no piece. Repeated rows are packed each. Null doc_ids are packed, last among
-ties. An empty table gives no row. Extra columns are not in the result. Only doc_id and lengths are shuffled.
+ties; doc_id must be of an integer type. An empty table gives no row. Extra columns are not in the result. Only doc_id and lengths are shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Work
+from .common import Work, integral
 from .token_count import VOCABULARY, counter
 
 SCHEMA = "sequence_id long, position int, doc_id long, start_token long, n_tokens long, cost double"
@@ -40,6 +40,7 @@ def assign(n: np.ndarray, cost: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack(docs: DataFrame, capacity: int = 8192, linear: float = 1.0, quadratic: float = 1 / 4096, shard_tokens: int = 1 << 22, path: str = VOCABULARY) -> DataFrame:
     """sequence_id, position, doc_id, start_token, n_tokens, cost: a row for each piece."""
+    integral(docs, "doc_id")
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), counter(path)(F.col("text")).alias("n"))
     # written before it is filtered: a filter on the count would be pushed below it and count twice
     counts = Work(docs.sparkSession, "packing").cut(counts).where("n > 0")

@@ -15,7 +15,7 @@ are joined by tile. Arrow batches hold as many tiles as spark.sql.execution.arro
 
 Defined results: null, empty, zero and non-finite vectors, those of another length than the most common, and null ids have
 no neighbours and are none. Of rows with the same id the smallest vector counts. A vector is not its own neighbour; ties go
-to the smaller id. With k others or fewer, all are neighbours. An empty table gives no row. Extra columns are ignored.
+to the smaller id, which is of an integer type. With k others or fewer, all are neighbours. An empty table gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import Work, release
+from .common import Work, integral, release
 
 MARGIN = 1e-5
 STRIP = 512
@@ -95,6 +95,7 @@ def collect(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, cut: n
 
 def nearest(vectors: DataFrame, k: int = 10, lists: int = 4, block: int = 2048, every: int = 50) -> DataFrame:
     """query_id, rank, neighbour_id, similarity (cosine, 6 decimals) for the rows whose id is divisible by ``every``, against all rows."""
+    integral(vectors, "vec_id")
     spark = vectors.sparkSession
     work = Work(spark, "topk")
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 
@@ -17,6 +17,36 @@ def select_window(messages: DataFrame, hits: DataFrame, radius: int = 2) -> Data
     return messages.join(near, ["conversation", "position"])
 
 
+def select_messages(messages: DataFrame, hits: DataFrame, active: DataFrame, edges: DataFrame, radius: int = 2, branches: bool = False) -> DataFrame:
+    """(conversation, message, priority): hits with 0; on the active path their neighbours within ``radius``, by distance; of hits off it what an edge ties them to, with 1; with ``branches`` also what an edge ties any of these to, one further.
+
+    messages, hits: (conversation, message); active: (conversation, message, active_position); edges: (conversation, from, to).
+    Distance counts messages of the path, so its positions are numbered first. All joins are on equality within a conversation.
+    """
+    radius = max(0, min(20, radius))
+    by = W.partitionBy("conversation").orderBy("active_position", "message")
+    path = active.withColumn("i", F.row_number().over(by)).select("conversation", "message", "i")
+    hits = hits.select("conversation", "message").distinct()
+    on = hits.join(path, ["conversation", "message"])
+    steps = F.explode(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.struct((F.col("i") + d).alias("i"), F.abs(d).alias("priority"))))
+    near = on.select("conversation", steps.alias("n")).select("conversation", "n.i", "n.priority").join(path, ["conversation", "i"]).select("conversation", "message", "priority")
+    both = edges.select("conversation", F.col("from").alias("message"), F.col("to").alias("other")).unionByName(edges.select("conversation", F.col("to").alias("message"), F.col("from").alias("other")))
+    off = hits.join(path, ["conversation", "message"], "left_anti")
+    tied = off.join(both, ["conversation", "message"]).select("conversation", F.col("other").alias("message"), F.lit(1).alias("priority"))
+    x = hits.withColumn("priority", F.lit(0)).unionByName(near).unionByName(tied)
+    x = x.groupBy("conversation", "message").agg(F.min("priority").alias("priority"))
+    if branches:
+        out = x.join(both, ["conversation", "message"]).select("conversation", F.col("other").alias("message"), (F.col("priority") + 1).alias("priority"))
+        x = x.unionByName(out).groupBy("conversation", "message").agg(F.min("priority").alias("priority"))
+    return x.join(messages.select("conversation", "message"), ["conversation", "message"], "left_semi")
+
+
+def best_conversations(selected: DataFrame, hits: DataFrame, limit: int = 8) -> DataFrame:
+    """selected, of the conversations with the best hits only: by the smallest rank, then the id. hits: (conversation, rank)."""
+    best = hits.groupBy("conversation").agg(F.min("rank").alias("r")).orderBy("r", "conversation").limit(max(1, min(50, limit)))
+    return selected.join(F.broadcast(best.select("conversation")), "conversation", "left_semi")
+
+
 def pack(messages: DataFrame, budget: int = 12_000, group: str = "query") -> DataFrame:
     """Greedy packing of (query, priority, position, message, revision, content) in order of priority and position: what fits is taken whole; a hit (priority 0) that doesn't is cut where 32 tokens or more are left; others are skipped. A revision is taken once. Each query's selection is one bounded group."""
     budget = max(128, min(2_000_000, budget))

@@ -10,8 +10,16 @@ def latest(observations: DataFrame, keys: list[str], *order: Column) -> DataFram
     return observations.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+#: More sources than this are joined instead of written into the filter.
+MANY = 1000
+
+
 def in_sources(observations: DataFrame, sources: list | None) -> DataFrame:
-    return observations if sources is None else observations.where(F.col("source").isin(sources))
+    """Observations of the sources; all where None is given, none for an empty list."""
+    if sources is None or len(sources) <= MANY:
+        return observations if sources is None else observations.where(F.col("source").isin(sources))
+    kind = observations.schema["source"].dataType.simpleString()
+    return observations.join(observations.sparkSession.createDataFrame([(s,) for s in sources], f"source {kind}").distinct(), "source", "left_semi")
 
 
 def filtered(messages: DataFrame, role: str | None = None, since=None, until=None) -> DataFrame:
@@ -40,6 +48,21 @@ def snapshot(observations: DataFrame, messages: DataFrame) -> DataFrame:
     return messages.join(head, ["conversation", "commit"]).withColumn("number", F.row_number().over(w))
 
 
+def snapshot_graph(observations: DataFrame, messages: DataFrame, edges: DataFrame, until=None, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Messages in order with their number, and edges, of each conversation's observation: the latest, the latest until a time, or that of a commit. Edges: (conversation, commit, from, to); those with an end outside are left out."""
+    o = observations
+    if until is not None:
+        o = o.where(F.col("committed_at") <= F.lit(until))
+    if commit is not None:
+        o = o.where(F.col("commit") == commit)
+    m = snapshot(o, messages)
+    ends = m.select("conversation", "commit", F.col("message").alias("_m"))
+    e = edges
+    for side in ("from", "to"):
+        e = e.join(ends.withColumnRenamed("_m", side), ["conversation", "commit", side], "left_semi")
+    return m, e
+
+
 def ledger(commits: DataFrame, receipts: DataFrame) -> DataFrame:
     """Receipts for each (ref, commit), zero where there is none."""
     n = receipts.groupBy("ref", "commit").agg(F.count("*").alias("receipts"))

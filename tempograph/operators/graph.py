@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..work import Work
+
 EXPANDS = ("resolved", "exact")
+#: What a reported trace may be asked for.
+MAX_PATHS, MAX_DEPTH, MAX_STARTS = 10_000, 1000, 1000
 
 
 def resolve_starts(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Symbols by id, exact name, prefix or part of the name, in these tiers."""
+    if not 0 < limit <= MAX_STARTS:
+        raise ValueError(f"limit is within 1..{MAX_STARTS}")
     n, q = F.lower("name"), query.lower()
     tier = F.when(F.col("id") == query, 0).when(F.col("name") == query, 1).when(n.startswith(q), 2).when(n.contains(q), 3)
     return symbols.withColumn("tier", tier).where("tier is not null").orderBy("tier", "name", "id").limit(limit)
@@ -25,11 +31,11 @@ def resolve_targets(references: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def trace(edges: DataFrame, starts: DataFrame, sinks: list[str] = (), max_depth: int = 8, max_paths: int | None = 50, work=None) -> DataFrame:
-    """Paths (start, nodes, terminal, depth, position) over edges (source, ordinal, target, target_name, resolution), breadth first.
+    """Paths (position, start, nodes, terminal, depth, truncated: whether paths were left out) over edges (source, ordinal, target, target_name, resolution), breadth first.
 
     A path ends at a sink, an uncertain edge (its resolution), an unresolved target, a cycle, a leaf, or max_depth; only
     resolved and exact edges expand, and the sink test comes first. The first ``max_paths`` are kept, or all where it is
-    None; what doesn't read position then sorts nothing. ``work.cut`` writes each level where it is given.
+    None, then without position and truncated, and nothing is sorted. ``work.cut`` writes each level where it is given.
     """
     e = edges.select("source", "ordinal", "target", "target_name", "resolution")
     has_out = e.select(F.col("source").alias("node")).distinct()
@@ -56,46 +62,139 @@ def trace(edges: DataFrame, starts: DataFrame, sinks: list[str] = (), max_depth:
     for d in done[1:]:
         out = out.unionByName(d)
     by = ["level", "start", "ord"]
-    if max_paths is not None:
-        out = out.orderBy(*by).limit(max_paths)
-    return out.withColumn("position", F.row_number().over(W.orderBy(*by))).select("position", "start", "nodes", "terminal", F.col("level").alias("depth"))
-
-
-def ancestors(edges: DataFrame, roots: DataFrame, limit: int = 100) -> DataFrame:
-    """(root, node, depth): everything reached from roots (root) over edges (child, parent); a recursive query, each node at its least depth."""
-    edges.createOrReplaceTempView("tg_edges")
-    roots.createOrReplaceTempView("tg_roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(root, node, depth) MAX RECURSION LEVEL {limit} AS (
-          SELECT root, root, 0 FROM tg_roots
-          UNION ALL SELECT up.root, e.parent, up.depth + 1 FROM up JOIN tg_edges e ON e.child = up.node)
-        SELECT root, node, min(depth) AS depth FROM up GROUP BY root, node""")
+    if max_paths is None:
+        return out.select("start", "nodes", "terminal", F.col("level").alias("depth"))
+    if not 0 < max_paths <= MAX_PATHS or not 0 <= max_depth <= MAX_DEPTH:
+        raise ValueError(f"max_paths is within 1..{MAX_PATHS}, max_depth within 0..{MAX_DEPTH}")
+    # one row more tells whether some are left out
+    out = out.orderBy(*by).limit(max_paths + 1).withColumn("position", F.row_number().over(W.orderBy(*by)))
+    out = out.withColumn("truncated", F.max("position").over(W.partitionBy(F.lit(0))) > max_paths).where(F.col("position") <= max_paths)
+    return out.select("position", "start", "nodes", "terminal", F.col("level").alias("depth"), "truncated")
+
+
+def _chains(edges: DataFrame, roots: DataFrame, work: Work) -> DataFrame:
+    """(node, chain, pos) for nodes inside a chain: one parent and one child, and no root. chain is the top node of its run of them, pos the steps up to it. Pointers double, so rounds are the logarithm of the longest chain."""
+    one = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("c"), F.min("parent").alias("parent")).where("c = 1").select("node", "parent")
+    kid = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("c")).where("c = 1").select("node")
+    inside = one.join(kid, "node", "left_semi").join(roots.select(F.col("root").alias("node")), "node", "left_anti")
+    inside = work.cut(inside)
+    up = inside.select(F.col("node").alias("parent"), F.lit(True).alias("more"))
+    t = work.cut(inside.join(up, "parent", "left").select("node", F.when(F.col("more"), F.col("parent")).otherwise(F.col("node")).alias("chain"), F.when(F.col("more"), 1).otherwise(0).cast("long").alias("pos")))
+    longest, reach = inside.count(), 1
+    while True:
+        top = t.select(F.col("node").alias("chain"), F.col("chain").alias("top"), F.col("pos").alias("further"))
+        nxt = work.cut(t.join(top, "chain").select("node", F.col("top").alias("chain"), (F.col("pos") + F.col("further")).alias("pos"), (F.col("further") > 0).alias("moved")))
+        work.drop(t)
+        t, reach = nxt, reach * 2
+        if reach > longest or t.where("moved").isEmpty():
+            return t.select("node", "chain", "pos")
+
+
+def ancestors(edges: DataFrame, roots: DataFrame, levels: int = 4) -> DataFrame:
+    """(root, node, depth): everything reached from roots (root) over edges (child, parent), each node once at its least depth.
+
+    Runs of nodes with one parent and one child are taken as one step, so a long line of commits costs no long loop. What
+    is left advances ``levels`` steps in each job; a written set of visited nodes keeps merges from being walked again.
+    Null ends are no edges, repeated edges count once, a cycle ends where it meets itself; roots needn't have edges.
+    """
+    work = Work(edges.sparkSession, "ancestors")
+    e = work.cut(edges.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct())
+    roots = work.cut(roots.select("root").where("root is not null").distinct())
+    inner = _chains(e, roots, work)
+    # a cycle of inner nodes has no top: its nodes stand for themselves
+    inner = work.cut(inner.join(inner.where("pos = 0").select("chain").distinct(), "chain", "left_semi"))
+    enter = inner.select(F.col("node").alias("parent"), "chain", "pos")
+    tops = e.join(inner.where("pos = 0").select(F.col("node").alias("child"), "chain"), "child").select("chain", F.col("parent").alias("out"))
+    step = e.join(inner.select(F.col("node").alias("child")), "child", "left_anti").join(enter, "parent", "left").join(tops, "chain", "left")
+    # from a key node over a chain, if any, to the next key node; w is the number of steps
+    step = work.cut(step.select("child", F.coalesce("out", "parent").alias("parent"), "chain", F.coalesce(F.col("pos") + 2, F.lit(1).cast("long")).alias("w")))
+    hop = step.groupBy("child", "parent").agg(F.min("w").alias("w"))
+    hop = work.cut(hop)
+    seen = work.cut(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")))
+    front = seen
+    while True:
+        parts, at = [], front
+        for _ in range(levels):
+            at = at.join(hop, at["node"] == hop["child"]).select("root", F.col("parent").alias("node"), (F.col("depth") + F.col("w")).alias("depth")).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+            parts.append(at)
+        found = parts[0].withColumn("last", F.lit(levels == 1))
+        for i, x in enumerate(parts[1:], 2):
+            found = found.unionByName(x.withColumn("last", F.lit(i == levels)))
+        found = found.groupBy("root", "node").agg(F.min("depth").alias("depth"), F.min(F.when(F.col("last"), F.col("depth"))).alias("end"))
+        old = seen.select("root", "node", F.col("depth").alias("was"))
+        new = work.cut(found.join(old, ["root", "node"], "left").where("was is null or depth < was").select("root", "node", "depth", "end"))
+        if new.isEmpty():
+            break
+        nxt = work.cut(seen.unionByName(new.select("root", "node", "depth")).groupBy("root", "node").agg(F.min("depth").alias("depth")))
+        work.drop(seen, front)
+        seen, front = nxt, new.where("end = depth").select("root", "node", "depth")
+    walked = step.where("chain is not null").select(F.col("child").alias("node"), "chain", (F.col("w") - 2).alias("entry"))
+    within = seen.join(walked, "node").select("root", "chain", "depth", "entry").join(inner.select(F.col("node").alias("n"), "chain", "pos"), "chain")
+    within = within.where("pos <= entry").select("root", F.col("n").alias("node"), (F.col("depth") + 1 + F.col("entry") - F.col("pos")).alias("depth"))
+    return seen.unionByName(within).groupBy("root", "node").agg(F.min("depth").cast("int").alias("depth"))
 
 
 def active_path(nodes: DataFrame, current: DataFrame) -> DataFrame:
-    """(conversation, node, position): the walk over parents from the current node, root first. nodes: (conversation, node, parent); current: (conversation, node). A node met again ends the walk."""
-    nodes.createOrReplaceTempView("tg_nodes")
-    current.createOrReplaceTempView("tg_current")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(conversation, node, depth, seen) MAX RECURSION LEVEL 1000 AS (
-          SELECT conversation, node, 0, array(node) FROM tg_current
-          UNION ALL SELECT w.conversation, n.parent, w.depth + 1, array_append(w.seen, n.parent)
-          FROM walk w JOIN tg_nodes n ON n.conversation = w.conversation AND n.node = w.node
-          WHERE n.parent IS NOT NULL AND NOT array_contains(w.seen, n.parent))
-        SELECT conversation, node, max(depth) OVER (PARTITION BY conversation) - depth AS position FROM walk""")
+    """(conversation, node, position): the walk over parents from the current node, root first. nodes: (conversation, node, parent); current: (conversation, node).
+
+    Jumps over 1, 2, 4, ... parents are joined to the walk so far, so a walk of n nodes takes log n rounds. A node met
+    again ends the walk; so does a parent that is no node of the conversation, which still belongs to it. Of a node's
+    several parents the smallest counts; a null current node has no walk.
+    """
+    work = Work(nodes.sparkSession, "path")
+    jump = work.cut(nodes.where("node is not null and parent is not null").groupBy("conversation", "node").agg(F.min("parent").alias("to")))
+    walk = work.cut(current.where("node is not null").select("conversation", "node", F.lit(0).cast("long").alias("depth")).distinct())
+    n, size = 1, walk.count()
+    while True:
+        more = walk.join(jump, ["conversation", "node"]).select("conversation", F.col("to").alias("node"), (F.col("depth") + n).alias("depth"))
+        nxt = work.cut(walk.unionByName(more).groupBy("conversation", "node").agg(F.min("depth").alias("depth")))
+        now = nxt.count()
+        work.drop(walk)
+        walk = nxt
+        if now == size:
+            break
+        size = now
+        half = jump.select("conversation", F.col("node").alias("to"), F.col("to").alias("far"))
+        further = work.cut(jump.join(half, ["conversation", "to"]).select("conversation", "node", F.col("far").alias("to")))
+        work.drop(jump)
+        jump, n = further, n * 2
+    return walk.withColumn("position", (F.max("depth").over(W.partitionBy("conversation")) - F.col("depth")).cast("int")).select("conversation", "node", "position")
 
 
 def nearest_ancestor(nodes: DataFrame) -> DataFrame:
-    """(conversation, node, ancestor): of each node with a message, the nearest one above that has one too. nodes: (conversation, node, parent, has_message)."""
-    nodes.createOrReplaceTempView("tg_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE up(conversation, node, at, depth) MAX RECURSION LEVEL 1000 AS (
-          SELECT conversation, node, parent, 1 FROM tg_nodes WHERE has_message AND parent IS NOT NULL
-          UNION ALL SELECT u.conversation, u.node, n.parent, u.depth + 1
-          FROM up u JOIN tg_nodes n ON n.conversation = u.conversation AND n.node = u.at
-          WHERE NOT n.has_message AND n.parent IS NOT NULL)
-        SELECT u.conversation, u.node, u.at AS ancestor FROM up u
-        JOIN tg_nodes n ON n.conversation = u.conversation AND n.node = u.at WHERE n.has_message""")
+    """(conversation, node, ancestor): of each node with a message, the nearest one above that has one too. nodes: (conversation, node, parent, has_message).
+
+    Pointers over nodes without a message double each round. A chain that ends without a message, or in a cycle of such nodes, has none.
+    """
+    work = Work(nodes.sparkSession, "nearest")
+    n = nodes.where("node is not null").groupBy("conversation", "node").agg(F.min("parent").alias("parent"), F.max(F.coalesce("has_message", F.lit(False))).alias("has"))
+    n = work.cut(n)
+    up = n.select("conversation", F.col("node").alias("parent"), F.col("has").alias("stop"))
+    t = work.cut(n.join(up, ["conversation", "parent"]).select("conversation", "node", "has", F.col("parent").alias("at"), "stop"))
+    for _ in range(64):
+        if t.where("has and not stop").isEmpty():
+            break
+        far = t.select("conversation", F.col("node").alias("at"), F.col("at").alias("far"), F.col("stop").alias("halt"))
+        # a pointer whose end has no pointer of its own has come to a root without a message
+        open_ = t.where("not stop").join(far, ["conversation", "at"]).where("far <> node").select("conversation", "node", "has", F.col("far").alias("at"), F.col("halt").alias("stop"))
+        nxt = work.cut(t.where("stop").unionByName(open_))
+        work.drop(t)
+        t = nxt
+    return t.where("has and stop").select("conversation", "node", F.col("at").alias("ancestor"))
+
+
+def endless(nodes: DataFrame) -> DataFrame:
+    """(conversation, node): nodes whose walk over parents never ends, as it runs into a cycle. nodes: (conversation, node, parent); a parent that is no node ends a walk; of a node's several parents the smallest counts."""
+    work = Work(nodes.sparkSession, "cycles")
+    own = nodes.where("node is not null").groupBy("conversation", "node").agg(F.min("parent").alias("at"))
+    t = work.cut(own.join(own.select("conversation", F.col("node").alias("at")), ["conversation", "at"]).select("conversation", "node", "at"))
+    total, reach = t.count(), 1
+    while reach <= total and not t.isEmpty():
+        # a pointer to a node that has none of its own has come to an end, and is dropped
+        nxt = work.cut(t.join(t.select("conversation", F.col("node").alias("at"), F.col("at").alias("far")), ["conversation", "at"]).select("conversation", "node", F.col("far").alias("at")))
+        work.drop(t)
+        t, reach = nxt, reach * 2
+    return t.select("conversation", "node")
 
 
 def project(nodes: DataFrame, edges: DataFrame, layer: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 
@@ -42,6 +42,27 @@ def preview(hits: DataFrame, limit: int = 1200) -> DataFrame:
     return hits.select(*keep, X.compact_label(F.col("content"), limit).alias("preview"), F.struct(*rest).alias("provenance"))
 
 
+def public_conversation(messages: DataFrame, edges: DataFrame, max_messages: int = 200, message_bytes: int = 32 << 10, total_bytes: int = 512 << 10, max_edges: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """A bounded view of conversations: messages (conversation, position, message, role, content) in order while they are within the number and the bytes, each text cut at a character's end, with ``truncated`` where a conversation has more; and the edges among them, at most ``max_edges`` a conversation."""
+    by = W.partitionBy("conversation")
+    size = F.least(F.octet_length(F.coalesce("content", F.lit(""))), F.lit(message_bytes))
+    x = messages.withColumn("n_bytes", size).withColumn("_run", F.sum("n_bytes").over(by.orderBy("position", "message"))).withColumn("_r", F.row_number().over(by.orderBy("position", "message")))
+    within = (F.col("_run") <= total_bytes) & (F.col("_r") <= max_messages)
+    x = x.withColumn("truncated", F.count(F.when(within, 1)).over(by) < F.count("*").over(by)).where(within)
+    text = F.when(F.octet_length("content") > message_bytes, X.cut_bytes(message_bytes)("content")).otherwise(F.col("content"))
+    m = x.select("conversation", "position", "message", "role", text.alias("content"), "n_bytes", "truncated")
+    e = edges.join(m.select("conversation", F.col("message").alias("from_message")), ["conversation", "from_message"], "left_semi").join(m.select("conversation", F.col("message").alias("to_message")), ["conversation", "to_message"], "left_semi")
+    e = e.withColumn("_r", F.row_number().over(by.orderBy("from_message", "to_message"))).where(F.col("_r") <= max_edges).drop("_r")
+    return m, e
+
+
+def closed(payload: dict, keys: set[str]) -> dict:
+    """A response that has just these keys; others are refused, not dropped."""
+    if set(payload) != set(keys):
+        raise ValueError(f"keys {sorted(set(payload) ^ set(keys))} are missing or unknown")
+    return payload
+
+
 def fits(c: Column, limit: int = 900 * 1024) -> Column:
     """Whether a response stays under the size bound."""
     return F.octet_length(c) <= limit

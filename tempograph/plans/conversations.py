@@ -190,7 +190,7 @@ SELECT message, round(1 - exp(-sum(q.q * n.weight) / 3), 6) AS score, count(*) A
 def topic_query_plan(t: Tables):
     m = _mentions(t)
     s = _seeds(m)
-    return T.query_plan(m, s, T.related(T.associations(m, t.replies(), _frequencies(m), propositions=False), s))
+    return T.query_plan(m, s, T.related(T.associations(m, t.replies(), _frequencies(m), propositions=False), s)).drop("via")
 
 
 @query("""

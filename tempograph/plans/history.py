@@ -66,7 +66,7 @@ e AS (SELECT a.block, a.id AS from_id, b.id AS to_id, a.name AS from_name, b.nam
   CASE WHEN a.name = b.name THEN 1 ELSE {_JAC('a.nt', 'b.nt')} END AS e_name, (a.kind = b.kind)::INT::DOUBLE AS e_kind,
   CASE WHEN a.name = b.name AND a.kind = b.kind THEN 1 ELSE round((a.kind = b.kind)::INT * 0.45::DOUBLE + ({_JAC('a.f', 'b.f')}) * 0.3::DOUBLE + {_NUM('a.n', 'b.n')} * 0.1::DOUBLE + {_NUM('a.n % 7', 'b.n % 7')} * 0.1::DOUBLE + {_NUM('a.n % 3', 'b.n % 3')} * 0.05::DOUBLE, 6) END AS e_structure,
   {_JAC('a.tt', 'b.tt')} AS e_token, CASE WHEN a.kind = b.kind THEN 1 ELSE {_JAC('a.st', 'b.st')} END AS e_signature, {_JAC('a.f', 'b.f')} AS e_references, 1.0::DOUBLE AS e_diff
-  FROM s a JOIN s b ON a.block = b.block WHERE a.k % 10 = 0 AND b.k % 10 = 1),
+  FROM s a JOIN s b ON a.block = b.block WHERE a.k % 2 = 0 AND b.k % 2 <> 0),
 c AS (SELECT *, round((e_name * 0.22::DOUBLE + e_kind * 0.15::DOUBLE + e_structure * 0.28::DOUBLE + e_token * 0.12::DOUBLE + e_signature * 0.14::DOUBLE + e_references * 0.04::DOUBLE + e_diff * 0.05::DOUBLE) / 1.0::DOUBLE, 6) AS confidence FROM e),
 pairs AS (SELECT * FROM c WHERE confidence >= 0.45),
 res AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM pairs q WHERE q.block = p.block AND ((q.from_id = p.from_id AND q.to_id <> p.to_id) OR (q.to_id = p.to_id AND q.from_id <> p.from_id)) AND round(abs(q.confidence - p.confidence), 6) < 0.05) THEN 'candidate' ELSE 'resolved' END AS status FROM pairs p),
@@ -89,7 +89,7 @@ def lineage_split_merge(t: Tables):
     return L.match(L.resolve(L.score_pairs(*_sides(t), ["block"]), ["block"]), ["block"]).select("block", "from_id", "to_id", "kind")
 
 
-@query(f"WITH {_PAIRS} SELECT s.block, s.id FROM s WHERE s.k % 10 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.block = s.block AND m.from_id = s.id)")
+@query(f"WITH {_PAIRS} SELECT s.block, s.id FROM s WHERE s.k % 2 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.block = s.block AND m.from_id = s.id)")
 def lineage_unmatched(t: Tables):
     prev, cur = _sides(t)
     m = L.match(L.resolve(L.score_pairs(prev, cur, ["block"]), ["block"]), ["block"])
@@ -105,7 +105,7 @@ def _edges(t: Tables):
 
 _TRACE = """
 e AS (SELECT 'r' || n_regionkey AS source, n_nationkey AS ordinal, 'n' || n_nationkey AS target, n_name AS name, 'resolved' AS resolution FROM nation
-  UNION ALL SELECT 'n' || c_nationkey, CAST(c_custkey AS INTEGER), 'c' || c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'dynamic' ELSE 'resolved' END FROM customer WHERE c_custkey % 25 = 0),
+  UNION ALL SELECT 'n' || c_nationkey, CAST(c_custkey AS INTEGER), 'c' || c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'dynamic' ELSE 'resolved' END FROM customer),
 st AS (SELECT 'r' || r_regionkey AS id FROM region),
 w AS (
   SELECT id AS start, id AS node, [id] AS nodes, []::INTEGER[] AS ord, 0 AS level, NULL::VARCHAR AS terminal FROM st

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import conversations, history, retrieval, texts
+from .plans import conversations, enrichment, history, retrieval, texts
 from .plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "conversations", "history", "retrieval", "texts"]
+__all__ = ["QUERIES", "SQL", "conversations", "enrichment", "history", "retrieval", "texts"]

@@ -161,3 +161,44 @@ def analyze(blobs: DataFrame, fingerprint: str = "python-ast-1") -> DataFrame:
     done = done.withColumn("r", F.from_json("result", f"struct<{body}>"))
     x = blobs.select("blob_oid", "language", "path").distinct().join(done, ["blob_oid", "language"])
     return x.select(F.struct("path", "language", "blob_oid").alias("file"), "r.symbols", "r.references", "r.diagnostics", F.lit(fingerprint).alias("fingerprint"))
+
+
+def usage_resolution(target, alias):
+    """Resolution of a use by what the linter knows of it: resolved with a known target namespace, candidate with an alias only, else unresolved."""
+    known = target.isNotNull() & (target != UNKNOWN)
+    return F.when(known, "resolved").when(alias.isNotNull(), "candidate").otherwise("unresolved")
+
+
+UNKNOWN = "unknown-namespace"
+
+
+def dedupe_symbols(symbols: list[dict]) -> list[dict]:
+    """Symbols of one file, each once: those with the same kind and qualified name, or with the same range, are one. The first stays in its place, but a variable gives way to what isn't one."""
+    out: list[dict] = []
+    by_name: dict[tuple, int] = {}
+    by_range: dict[tuple, int] = {}
+    for s in symbols:
+        r = s.get("range") or {}
+        name, at = (s.get("kind"), s.get("qualified_name")), (r.get("start_byte"), r.get("end_byte"))
+        i = min((k for k in (by_name.get(name), by_range.get(at) if at != (None, None) else None) if k is not None), default=None)
+        if i is None:
+            i = len(out)
+            out.append(s)
+        elif out[i].get("kind") == "variable" and s.get("kind") != "variable":
+            out[i] = s
+        else:
+            continue
+        by_name.setdefault(name, i)
+        by_range.setdefault(at, i)
+    return out
+
+
+def ingest_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> tuple[DataFrame, DataFrame]:
+    """Results of analyzing the files of a folder and all below it, and counts of files, symbols, references and diagnostics. Paths are relative to the folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    prefix = "/" + root.split("://")[-1].strip("/") + "/"
+    x = files.select(F.sha2("content", 256).alias("blob_oid"), F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/*', '/'), {len(prefix) + 1})").alias("path"), F.lit("python").alias("language"), F.decode("content", "UTF-8").alias("source")).where(base.startswith(prefix))
+    results = analyze(x)
+    counts = results.agg(F.count("*").alias("files"), F.sum(F.size("symbols")).alias("symbols"), F.sum(F.size("references")).alias("references"), F.sum(F.size("diagnostics")).alias("diagnostics"))
+    return results, counts

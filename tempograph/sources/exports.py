@@ -70,10 +70,12 @@ def path_kind(c):
 
 
 def read(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Conversations of the export's conversation files, the newest of each id (ties: the later)."""
+    """Conversations of the export's conversation files, the newest of each id (ties: the later in order of file and place). A file is a list of them, an object that holds the list, or one conversation; one without the text of any is refused."""
     picked = [f for f in files if CONVERSATIONS.search(f)] or [f for f in files if f.endswith(".json")]
-    x = spark.read.schema(CONVERSATION).option("multiLine", True).json(picked)
-    x = x.withColumn("conversation", F.coalesce("conversation_id", "id")).withColumn("_seq", F.monotonically_increasing_id())
+    raw = spark.read.text(picked, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+    wrapped = F.from_json("value", f"conversations array<struct<{CONVERSATION}>>")["conversations"]
+    x = raw.select("_file", F.posexplode(F.coalesce(F.when(F.ltrim("value").startswith("{"), wrapped), F.from_json("value", f"array<struct<{CONVERSATION}>>"))).alias("_at", "c"))
+    x = x.select(F.struct("_file", "_at").alias("_seq"), "c.*").withColumn("conversation", F.coalesce("conversation_id", "id"))
     x = x.where("conversation is not null")
     return x.groupBy("conversation").agg(F.max_by(F.struct(*[c for c in x.columns if c not in ("conversation", "_seq")]), F.struct(F.coalesce("update_time", F.lit(0.0)), "_seq")).alias("c")).select("conversation", "c.*")
 

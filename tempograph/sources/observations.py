@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_MESSAGES, MAX_TEXT, MAX_DEPTH = 20_000, 1 << 20, 10_000
+from ..operators import graph
+
+MAX_MESSAGES, MAX_TEXT = 20_000, 1 << 20
 FORBIDDEN = re.compile(r"(?i)^(?:.*[_-])?(?:authorization|cookies?|set-cookie|password|secret|access[_-]?token|refresh[_-]?token|session[_-]?token|csrf[_-]?token|api[_-]?key)$")
 
 
@@ -18,20 +20,13 @@ def forbidden_keys(names: Column) -> Column:
 def violations(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
     """(conversation, rule): everything that makes an observation unacceptable. nodes: (conversation, node, parent, text, keys); conversations: (conversation, current_node, path).
 
-    A cycle is nodes that no root reaches over known parents, in a recursive query that never enters one.
+    A cycle is nodes whose walk over known parents never ends.
     """
     rule = lambda df, name: df.select("conversation", F.lit(name).alias("rule")).distinct()
     own = nodes.select(F.col("conversation").alias("_c"), F.col("node").alias("_n")).distinct()
     count = nodes.groupBy("conversation").agg(F.count("*").alias("n"), F.count_distinct("node").alias("d"))
     missing = nodes.where("parent is not null").join(own, (F.col("conversation") == F.col("_c")) & (F.col("parent") == F.col("_n")), "left_anti")
-    tree = nodes.select("conversation", "node", "parent").distinct().join(own, (F.col("conversation") == F.col("_c")) & (F.col("parent") == F.col("_n")), "left")
-    tree.select("conversation", "node", F.when(F.col("_n").isNotNull(), F.col("parent")).alias("parent")).createOrReplaceTempView("tg_observed")
-    reached = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE reach(conversation, node) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-          SELECT conversation, node FROM tg_observed WHERE parent IS NULL
-          UNION ALL SELECT o.conversation, o.node FROM reach r JOIN tg_observed o ON o.conversation = r.conversation AND o.parent = r.node)
-        SELECT conversation AS _c, node AS _n FROM reach""")
-    cyclic = own.join(reached, ["_c", "_n"], "left_anti").withColumnRenamed("_c", "conversation")
+    cyclic = graph.endless(nodes)
     path = conversations.select("conversation", F.posexplode("path").alias("i", "node")).join(nodes.select("conversation", "node", "parent"), ["conversation", "node"], "left")
     prev = conversations.select("conversation", F.posexplode("path").alias("j", "before")).withColumn("i", F.col("j") + 1).drop("j")
     step = path.join(prev, ["conversation", "i"])

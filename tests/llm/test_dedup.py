@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tempograph.llm import near_dedup, substring_dedup
@@ -76,6 +77,43 @@ def test_near_groups_match_brute_force(spark):
     assert got == want
 
 
+def groups_of(split):
+    """The smallest number of each text's component over all pairs, for components of two or more."""
+    parent = list(range(len(split)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(split)):
+        for j in range(i):
+            n = max(len(split[i]), len(split[j]))
+            if abs(len(split[i]) - len(split[j])) <= 0.2 * n and edit_distance(split[i], split[j]) <= 0.2 * n + 1e-9:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    own = [find(i) for i in range(len(split))]
+    return {i + 1: g + 1 for i, g in enumerate(own) if own.count(g) > 1}
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_in_crowded_buckets(spark, monkeypatch, block):
+    """A passage is most of many texts, so all their bands are crowded; a family of copies stands among them, and copies differ in what is their own."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    passage = words(40, 999)
+    own = [words(14, 300 + j) for j in range(30)]
+    texts = [f"{x} {passage}" for x in own] + [f"{edited(x, 4, j)} {passage}" for j, x in enumerate(own[:12])]
+    texts += [edited(f"{passage} {words(13, 77)}", 2, 500 + j) for j in range(20)]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_dedup(frame(spark, rows(texts))).collect()}
+    want = groups_of([t.split() for t in texts])
+    assert len(set(want.values())) > 8
+    # bands are approximate: who shares none is not found; whoever shares one is
+    h = [near_dedup.words(*near_dedup.utf8(pa.array([t]))) for t in texts]
+    bands = [set(enumerate(near_dedup.sketch(*near_dedup.kmers(x[2], x[3], 3), 20)[0].tolist())) for x in h]
+    assert all(any(bands[i] & bands[j] for j in range(len(texts)) if j != i) for i in range(len(texts)))
+    assert got == want
+
+
 def test_near_awkward(spark):
     d = frame(spark)
     got = {(r.doc_id, r.group_id, r.kept) for r in near_dedup.near_dedup(d).collect()}

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tempograph.llm import perplexity, secret_scan, toxicity
 from tempograph.llm.common import Work
@@ -71,6 +72,59 @@ def test_toxicity_held_out(spark):
     assert all(got[i] == bool(y) for i, _, y in held)
 
 
+def test_log_odds_by_their_definition(spark):
+    """Scores from counts of distinct contexts, the pooled prior and the bounds, done again directly."""
+    texts, labels = toxic_corpus(160)
+    m = toxicity.fit(frame(spark, rows(texts)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    seen = {0: set(), 1: set()}
+    for (_, _, y), t in zip(labels, texts):
+        w = ["", *t.lower().split(), ""]
+        seen[y] |= {(w[i - 1], w[i], w[i + 1]) for i in range(1, len(w) - 1)}
+    count = {y: {} for y in seen}
+    for y, s in seen.items():
+        for _, w, _ in s:
+            count[y][w] = count[y].get(w, 0) + 1
+    n1, n0 = (sum(count[y].values()) for y in (1, 0))
+    share, want = n1 / (n1 + n0), {}
+    log = lambda k, e: k * math.log(k / e) if k else 0.0
+    for w, c1 in count[1].items():
+        c0 = count[0].get(w, 0)
+        c = c1 + c0
+        z = math.sqrt(max(0, 2 * (log(c1, c * share) + log(c0, c * (1 - share)))))
+        a = 500 * c / (n1 + n0)
+        p1, p0 = (c1 + a) / (n1 + 500), (c0 + a) / (n0 + 500)
+        if c1 > 1 and c1 > c * share and z >= 4 and math.log(p1 / p0) >= 1:
+            want[w] = (math.log(p1 / p0), p1, p0)
+    assert set(want) == {"slurone", "slurtwo", "slurthree"}
+    data, off = toxicity.utf8(pa.array(sorted(want)))
+    h = toxicity.words(data, off)[2]
+    other = math.log((1 - sum(x[1] for x in want.values())) / (1 - sum(x[2] for x in want.values())))
+    for g in ("en", toxicity.POOLED):
+        key, score, rest = m[g]
+        got = {w: score[list(key).index(x)] for w, x in zip(sorted(want), h)}
+        assert all(abs(got[w] - want[w][0]) < 1e-9 for w in want) and abs(rest - other) < 1e-9
+
+
+def test_p_values_hold_under_the_clean_model():
+    """Texts drawn from the clean model have a p-value under x in at most about x of all cases."""
+    rng = random.Random(9)
+    p1, p0 = 0.05, 0.002
+    hit, other = math.log(p1 / p0), math.log((1 - p1) / (1 - p0))
+    ps = []
+    for _ in range(4000):
+        pos = [i for i in range(200) if rng.random() < p0]
+        ps.append(toxicity.calibrate([s for _, _, s in toxicity.segments(pos, [hit] * len(pos), 200, other)], 200) if pos else 1.0)
+    for x in (0.2, 0.05, 0.01):
+        assert sum(p <= x for p in ps) / len(ps) <= x * 1.3 + 0.002
+
+
+def test_long_texts_have_all_their_contexts(spark):
+    """A text beyond a step is taken whole."""
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = toxicity._contexts(pa.array([long, None, "one two one two"]))
+    assert [len(x) for x in got.to_pylist()] == [300_000, 0, 4]
+
+
 def test_toxicity_awkward(spark):
     texts, labels = toxic_corpus()
     lab = spark.createDataFrame([*labels, (None, 1, 1), (1, None, None), (1, 1, 1)], "doc_id long, quality int, toxic int")
@@ -168,12 +222,39 @@ def test_perplexity_is_kneser_ney(spark):
         assert abs(got[i] - math.exp(-sum(lp) / len(lp))) < 1e-4
 
 
+def test_bands_by_their_definition(spark):
+    """The band from medians of the texts' own scores, done again; what is outside is rejected, and each language has its own."""
+    rng = random.Random(2)
+    en = [" ".join(words(rng, rng.randint(90, 200))) for _ in range(40)]
+    de = [" ".join(w[::-1] for w in words(rng, 120)) for _ in range(20)]
+    bad = ["".join(rng.choice("qxzjvkwy#@") for _ in range(900))]
+    data = [(i, t, g, "s", 1, 0.5, "x", "y", "z", "w") for i, (t, g) in enumerate([(t, "en") for t in en + bad] + [(t, "de") for t in de] + [("lone text", None), ("single", "fr")], 1)]
+    d = frame(spark, data)
+    got = perplexity.perplexity(d).collect()
+    assert {r.lang for r in got} == {"en", "de", "", "fr"} and [r.doc_id for r in got if r.rejected] == [41]
+    w = Work(spark, "test")
+    path = perplexity.fit(d, w)
+    for g, texts in (("en", en + bad), ("de", de)):
+        data, off = toxicity.utf8(pa.array(texts))
+        key, first = perplexity.grams(data, off)
+        lp = perplexity.log_probs(key, perplexity.language(path, g))
+        x = [-lp[a:b].mean() for a, b in zip(first[:-1], first[1:])]
+        tau2 = np.mean([lp[a:b].var() for a, b in zip(first[:-1], first[1:])])
+        mid = sorted(x)[(len(x) - 1) // 2]
+        mad = sorted(abs(v - mid) for v in x)[(len(x) - 1) // 2]
+        for r in (r for r in got if r.lang == g):
+            i = r.doc_id - 1 - (0 if g == "en" else 41)
+            s = math.sqrt((1.4826 * mad) ** 2 + 3 * tau2 / (first[i + 1] - first[i]))
+            assert abs(r.perplexity - math.exp(x[i])) < 1e-3
+            assert abs(math.log(r.low) - (mid - 4 * s)) < 1e-3 and abs(math.log(r.high) - (mid + 4 * s)) < 1e-3
+            assert r.rejected or r.low <= r.perplexity <= r.high
+
+
 def test_unseen_text_backs_off(spark):
     w = Work(spark, "test")
     path = perplexity.fit(frame(spark, rows(["abab abba", "abba"])), w)
     m = perplexity.language(path, "en")
     from tempograph.llm.common import utf8
-    import pyarrow as pa
 
     data, off = utf8(pa.array(["zzz", "abab"]))
     key, _ = perplexity.grams(data, off)

@@ -68,6 +68,25 @@ def brute_viterbi(f, p):
     return best[1]
 
 
+def test_counts_are_those_of_the_lines(spark):
+    """The model is the prior plus a count for each line and each step between lines, done here directly."""
+    raw = chat.transcripts(conversations(spark, 12))
+    want = chat.prior()
+    index = {(r if k == "B" else f"{r}+"): i for i, (r, k) in enumerate(chat.STATES)}
+    for r in raw.collect():
+        _, f = chat.features(r.text)
+        assert len(f) == len(r.roles)
+        states = [index[x] for x in r.roles]
+        want["start"][states[0]] += 1
+        for a, b in zip(states, states[1:]):
+            want["step"][a, b] += 1
+        for s, x in zip(states, f):
+            for k, v in zip("mgl", x):
+                want[k][s, v] += 1
+    got = chat.fit(raw)
+    assert all(np.allclose(np.exp(got[k]), v / v.sum(axis=-1, keepdims=True)) for k, v in want.items())
+
+
 def test_viterbi_is_the_likeliest_path():
     p = chat.logs(chat.prior())
     _, f = chat.features("User: hi\nmore\n\nAssistant: yes it is")
@@ -76,10 +95,12 @@ def test_viterbi_is_the_likeliest_path():
 
 
 def test_chat_awkward(spark):
-    data = [(1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (1, 1, None, "what", "x"), (1, 2, "assistant", None, "x"), (2, 0, "user", "", "x"), (None, 0, "user", "lost", "x"), (None, None, None, None, None), (3, 0, "wizard", "abra\n\ncadabra", "x"), (4, 0, "user", "long " * 50_000, "x")]
+    data = [(1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (1, 1, None, "what", "x"), (1, 2, "assistant", None, "x"), (2, 0, "user", "", "x"), (None, 0, "user", "lost", "x"), (None, 0, "user", "lost", "x"), (None, None, None, None, None), (3, 0, "wizard", "abra\n\ncadabra", "x"), (4, 0, "user", "long " * 50_000, "x")]
     raw = chat.transcripts(spark.createDataFrame(data, CONV))
-    got = {r.conv_id: r for r in chat.format_chats(raw, chat.fit(raw)).collect()}
-    assert set(got) == {1, 3, 4, None}
+    got = chat.format_chats(raw, chat.fit(raw)).collect()
+    assert sorted(str(r.conv_id) for r in got) == ["1", "3", "4", "None", "None"]
+    with pytest.raises(ValueError):
+        chat.transcripts(spark.createDataFrame([("a", 0, "user", "x", "y")], CONV.replace("conv_id long", "conv_id string")))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n \n")], "conv_id long, text string")
     assert [(r.n_turns, r.rendered) for r in chat.format_chats(odd, chat.logs(chat.prior())).collect()] == [(0, "")] * 3
     none = chat.transcripts(spark.createDataFrame([], CONV))
