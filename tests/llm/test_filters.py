@@ -240,8 +240,10 @@ def test_bands_by_their_definition(spark):
         lp = perplexity.log_probs(key, perplexity.language(path, g))
         x = [-lp[a:b].mean() for a, b in zip(first[:-1], first[1:])]
         tau2 = np.mean([lp[a:b].var() for a, b in zip(first[:-1], first[1:])])
-        mid = sorted(x)[(len(x) - 1) // 2]
-        mad = sorted(abs(v - mid) for v in x)[(len(x) - 1) // 2]
+        middle = lambda v: sorted(v)[(len(v) - 1) // 2]
+        long = [v for v, a, b in zip(x, first[:-1], first[1:]) if b - a >= perplexity.LONG]  # the longer texts set the band, where there are some
+        mid = middle(long or x)
+        mad = middle([abs(v - mid) for v in long]) if long else 0
         for r in (r for r in got if r.lang == g):
             i = r.doc_id - 1 - (0 if g == "en" else 41)
             s = math.sqrt((1.4826 * mad) ** 2 + 3 * tau2 / (first[i + 1] - first[i]))
