@@ -97,7 +97,7 @@ def bm25_sql(table: str, id_col: str, text: str, query: list[str], limit: int |
     """The same in DuckDB, for single terms and phrases."""
     freq = []
     for i, q in enumerate(query):
-        w = q.lower().split()
+        w = query_words(q)
         if len(w) == 1:
             freq.append(f"len(list_filter(t, lambda x: x = '{w[0]}')) AS f{i}")
         else:

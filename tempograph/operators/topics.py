@@ -46,15 +46,14 @@ def from_text_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     acts = acts.groupBy("graph", "context").agg(F.array_sort(F.collect_set("act")).alias("facets"), F.array_sort(F.collect_set("node")).alias("acts"))
     props = props.join(acts, ["graph", "context"], "left").withColumn("facets", F.coalesce("facets", F.array().cast("array<string>"))).withColumn("acts", F.coalesce("acts", F.array().cast("array<string>")))
     about = edges.where("kind = 'semantic:about'").select("graph", F.col("from").alias("context"), F.col("to").alias("node")).distinct()
-    refs = node.where("layer = 'reference'").withColumn("names", F.array_distinct(F.array("label", "key")))
+    refs = node.where("layer = 'reference'").withColumn("names", F.array_distinct(F.array("label", "key"))).withColumn("known", F.array(X.normalize_topic(F.col("label")), X.normalize_topic(F.col("key"))))
     tied = about.join(refs.drop("layer"), ["graph", "node"]).join(props, ["graph", "context"])
     topic = lambda kind, key: F.concat_ws(":", kind, X.normalize_topic(key))
     cols = ["topic", "graph", "node", "context", "relation", "weight", "kind", "label", "facets", "aliases", "anchors", "supports"]
     a = tied.select(topic(F.col("kind"), F.col("key")).alias("topic"), "graph", "node", "context", F.lit("reference").alias("relation"), F.round(entity_weight(F.col("kind")) * facet_boost(F.col("facets")), 6).alias("weight"), "kind", "label", "facets", F.col("names").alias("aliases"), "anchors", F.array_union(F.array("node", "context"), "acts").alias("supports"))
-    named = tied.groupBy("graph", "context").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("named"))
+    named = tied.groupBy("graph", "context").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("named"))
     p = props.join(named, ["graph", "context"], "left").withColumn("p", F.explode(X.phrase_candidates(F.col("said"))))
-    own = X.normalize_topic(F.col("p.label"))
-    p = p.where(~F.coalesce(F.exists("named", lambda n: X.plain_topic(n) == own), F.lit(False)))
+    p = p.withColumn("own", X.normalize_topic(F.col("p.label"))).where("not coalesce(array_contains(named, own), false)")
     p = p.select(topic(F.col("p.kind"), F.col("p.label")).alias("topic"), "graph", F.col("context").alias("node"), "context", F.lit("phrase").alias("relation"), F.round(F.col("p.weight") * facet_boost(F.col("facets")), 6).alias("weight"), "p.kind", "p.label", "facets", F.array("p.label").alias("aliases"), F.col("said_at").alias("anchors"), F.array_union(F.array("context"), "acts").alias("supports"))
     alone = refs.join(tied.select("graph", "node").distinct(), ["graph", "node"], "left_anti")
     alone = alone.select(topic(F.col("kind"), F.col("key")).alias("topic"), "graph", "node", F.col("node").alias("context"), F.lit("reference").alias("relation"), F.round(entity_weight(F.col("kind")), 6).alias("weight"), "kind", "label", F.array().cast("array<string>").alias("facets"), F.col("names").alias("aliases"), "anchors", F.array("node").alias("supports"))

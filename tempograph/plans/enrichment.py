@@ -308,8 +308,8 @@ def public_conversation(t: Tables):
 
 
 @query("""
-WITH o AS (SELECT user_id AS conversation, event_type AS "commit", max(ts) AS at FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY ALL),
-h AS (SELECT conversation, arg_max("commit", (at, "commit")) AS c FROM o GROUP BY 1)
+WITH o AS (SELECT user_id AS conversation, event_type AS "commit", max(ts) AS seen FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY ALL),
+h AS (SELECT conversation, arg_max("commit", row(seen, "commit")) AS c FROM o GROUP BY 1)
 SELECT e.user_id AS conversation, e.event_id AS message, CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS INTEGER) AS number,
   lag(e.event_id) OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS reply_to FROM events e JOIN h ON h.conversation = e.user_id AND h.c = e.event_type""")
 def snapshot_at(t: Tables):

@@ -81,7 +81,7 @@ def hybrid_lexical_dense(t: Tables):
 @query(f"""
 WITH m AS (SELECT conv_id * 1000 + turn AS message, text FROM conversations),
 a AS (SELECT message, score, row_number() OVER (ORDER BY score, message) AS r FROM ({fts.bm25_sql('m', 'message', 'text', ['anon'], 40)})),
-b0 AS (SELECT message, round(1 - exp(-len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: starts_with(x, 'ent'))) / 3.0::DOUBLE), 6) AS s FROM m),
+b0 AS (SELECT message, round(1 - exp(-len(list_filter(regexp_extract_all({fts.fold_sql('text')}, '{fts.TOKEN}'), lambda x: starts_with(x, 'ent'))) / 3.0::DOUBLE), 6) AS s FROM m),
 b AS (SELECT message, s, row_number() OVER (ORDER BY s DESC, message) AS r FROM b0 WHERE s > 0 ORDER BY r LIMIT 40)
 SELECT coalesce(a.message, b.message) AS message, CAST(a.r AS INTEGER) AS lexical_rank, score AS bm25, CAST(b.r AS INTEGER) AS topic_rank, s AS topic_score,
   round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(0.85::DOUBLE / (60 + b.r) + 0.01::DOUBLE * s, 0), 6) AS fused
