@@ -3,7 +3,7 @@
 run() applies the stages to documents and returns the packed sequences. A stage's result is written as Parquet to the shared
 work folder and read again, so that no stage is computed twice and the loss of an executor costs its running tasks only.
 SQL can't express the stages (segments scored by a fitted model, alignment, tests, greedy packing): ORACLE_SQL is None, and
-the tests compare each stage with brute force.
+the tests hold each stage against planted cases and, for packing, the counts of its input.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occur earlier in the corpus are cut out."""
+    """Runs of 30 words or more that occur earlier in the corpus are cut out."""
     return substring_dedup.drop_repeats(docs)
 
 
