@@ -9,12 +9,14 @@ similarity, as both the shared k-mers and their order count. Each of the m value
    gives each member's pair with its smallest node, which joins a family of copies of whatever size. Pairs whose lengths
    alone put them under the threshold are not candidates.
 3. What is in a crowded bucket (a passage that many documents share puts them there) is searched exactly, whatever bands a
-   pair shares: texts of n words within the edit distance have at least 0.8 n of them in common, so the rarest
-   n - 0.8 n + 1 words (labelled by occurrence; one order for all) of two such texts meet in a word. Lists of these words
-   are compared in blocks: pairs of two groups whose lengths and word histograms allow the distance are candidates. So no
-   pair that shares a band is left out, none within a group is made, and SMALL only chooses the way.
-4. Pairs are verified by banded alignment of the word sequences (edit distance at most (1 - threshold) * longer length;
-   the band doubles until it holds the distance). Pairs inside one group already need no verification: first each node's
+   pair shares: texts of n words within the edit distance have at least 0.6 n - 1 runs of two words in common, as an edit
+   takes two away, so the rarest 0.4 n + 1 runs (labelled by occurrence; one order for all) of two such texts meet in one.
+   Single words would do as well, but chance makes texts of one language meet in them, the more the larger the table. Lists
+   of these runs are compared in blocks: pairs of two groups whose lengths and word histograms allow the distance are
+   candidates. So no pair that shares a band is left out, none within a group is made, and SMALL only chooses the way.
+4. Pairs are verified by the edit distance of the word sequences, at most (1 - threshold) * longer length: too few q-mers in
+   common (q of 3, 2, 1) rule a pair out, an alignment along common 3-mers that is cheap enough lets it in, and what neither
+   tells is aligned in a band that grows until it holds the distance. Pairs inside one group already need no verification: first each node's
    best pair, then each group's best pair, then all that still join two groups.
 5. Groups are the connected components of the verified pairs, by alternating large-star and small-star.
 
@@ -36,13 +38,34 @@ from .common import U64, Work, mix, release, slices, utf8, words
 
 SMALL = 8
 ORDER = 2
-#: Counters of word frequencies, buckets of a text's word histogram, texts in a block.
-COUNTERS = 1 << 16
+#: Counters of the frequencies of runs of words, buckets of a text's word histogram, texts in a block.
+COUNTERS = 1 << 18
 HISTOGRAM = 128
 BLOCK = 256
+#: Bytes of text in a step, so that a step's arrays stay in a core's cache.
+STEP = 1 << 18
 FACTS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
+def _occurrence(v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How many times each value stands earlier in its text."""
+    at = np.arange(len(v))
+    bits = U64(len(v).bit_length())
+    key = np.sort(mix(v + doc.astype(U64) * U64(0xD1342543DE82EF95)) >> bits << bits | at.astype(U64))  # one word holds a hash and the place
+    order = (key & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    key >>= bits
+    new = np.ones(len(v), bool)
+    new[1:] = key[1:] != key[:-1]
+    sv, sd = v[order], doc[order]
+    if (~new[1:] & ((sv[1:] != sv[:-1]) | (sd[1:] != sd[:-1]))).any():  # two values have one hash
+        order = np.lexsort((v, doc))
+        sv, sd = v[order], doc[order]
+        new[1:] = (sv[1:] != sv[:-1]) | (sd[1:] != sd[:-1])
+    occ = np.empty(len(v), U64)
+    occ[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(U64)
+    return occ
+
+
 def kmers(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled hashes of the k-mers, in text order, and each text's first index. A text of fewer than k words has one k-mer."""
     n = np.diff(first)
@@ -55,14 +78,7 @@ def kmers(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         for j in range(k):
             there = at + j < first[doc + 1] if len(doc) else np.zeros(0, bool)
             v = mix(v * U64(31) + np.where(there, h[np.minimum(at + j, max(len(h) - 1, 0))] if len(h) else 0, U64(j)))
-        order = np.lexsort((v, doc))
-        sv, sd = v[order], doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sv[1:] != sv[:-1]) | (sd[1:] != sd[:-1])
-        run = np.flatnonzero(new)
-        occ = np.empty(len(order), U64)
-        occ[order] = (np.arange(len(order)) - np.repeat(run, np.diff([*run, len(order)]))).astype(U64)
-        return mix(v + occ * U64(0x9E3779B97F4A7C15)), start
+        return mix(v + _occurrence(v, doc) * U64(0x9E3779B97F4A7C15)), start
 
 
 def sketch(v: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
@@ -76,21 +92,24 @@ def sketch(v: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
     seeds = mix(np.arange(1, m + 1, dtype=U64) * U64(0xD1342543DE82EF95))
     text = np.repeat(np.arange(len(have)), n)
     full = U64(0xFFFFFFFFFFFFFFFF)
+    x, high = np.empty_like(v), np.empty_like(v)
+
+    def least() -> np.ndarray:
+        hit = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, s), n))
+        of = text[hit]
+        return hit[np.concatenate([[True], of[1:] != of[:-1]])]
+
     with np.errstate(over="ignore"):
         for i in range(m):
-            x = (v ^ seeds[i]) * (seeds[i] | U64(1))
-            x ^= x >> U64(32)
-            a = np.minimum.reduceat(x, s)
-            hit = np.flatnonzero(x == a[text])
-            _, f = np.unique(text[hit], return_index=True)
-            pa_ = hit[f]
-            x[pa_] = full
-            b = np.minimum.reduceat(x, s)
-            hit = np.flatnonzero(x == b[text])
-            _, f = np.unique(text[hit], return_index=True)
-            pb = hit[f]
-            va, vb = v[pa_], np.where(n > 1, v[pb], U64(0))
-            swap = pb < pa_
+            np.bitwise_xor(v, seeds[i], out=x)
+            np.multiply(x, seeds[i] | U64(1), out=x)
+            np.right_shift(x, U64(32), out=high)
+            np.bitwise_xor(x, high, out=x)
+            first = least()
+            x[first] = full
+            second = least()
+            va, vb = v[first], np.where(n > 1, v[second], U64(0))
+            swap = second < first
             out[:, i] = mix(mix(np.where(swap, vb, va)) + np.where(swap, va, vb) * U64(3) + U64(i))
     return out
 
@@ -100,7 +119,7 @@ def _facts(m: int, k: int):
         release()
         data, off = utf8(text)
         digests, counts, values, lens = [], [], [], []
-        for lo, hi in slices(off):
+        for lo, hi in slices(off, STEP):
             _, _, h, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             n = np.diff(first)
             v, start = kmers(h, first, k)
@@ -158,6 +177,75 @@ def _band(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, t: int)
     return out
 
 
+def _met(hx: np.ndarray, fx: np.ndarray, hy: np.ndarray, fy: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The q-mers that pairs of texts have in common, by occurrence: pair, first word in x, first word in y."""
+    (vx, sx), (vy, sy) = kmers(hx, fx, q), kmers(hy, fy, q)
+    if not len(vx) or not len(vy):
+        return (np.zeros(0, np.int64),) * 3
+    px, py = (np.repeat(np.arange(len(s) - 1), np.diff(s)) for s in (sx, sy))
+    with np.errstate(over="ignore"):
+        kx, ky = (mix(v + p.astype(U64) * U64(0xD1342543DE82EF95)) for v, p in ((vx, px), (vy, py)))
+    order = np.argsort(ky)
+    ky = ky[order]
+    at = np.minimum(np.searchsorted(ky, kx), len(ky) - 1)
+    i = np.flatnonzero(ky[at] == kx)
+    j = order[at[i]]
+    same = px[i] == py[j]
+    i, j = i[same], j[same]
+    return px[i], i - sx[px[i]] + fx[px[i]], j - sy[py[j]] + fy[py[j]]
+
+
+def _at_most(hx: np.ndarray, fx: np.ndarray, hy: np.ndarray, fy: np.ndarray, pair: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """An alignment's cost for each pair of texts, which the edit distance does not exceed: common places that cross no other are kept, and what is between two of them is laid side by side."""
+    n = len(fx) - 1
+    if len(p):
+        before = np.concatenate([[-1], np.maximum.accumulate(q)[:-1]])
+        after = np.concatenate([np.minimum.accumulate(q[::-1])[::-1][1:], [len(hy)]])
+        keep = (q > before) & (q < after)
+        pair, p, q = pair[keep], p[keep], q[keep]
+    # a text's start is a place as well
+    pair = np.concatenate([np.arange(n), pair])
+    order = np.argsort(pair, kind="stable")
+    pair, p, q = pair[order], np.concatenate([fx[:-1], p])[order], np.concatenate([fy[:-1], q])[order]
+    last = np.concatenate([pair[1:] != pair[:-1], [True]])
+    dx = np.where(last, fx[pair + 1], np.concatenate([p[1:], [0]])) - p
+    dy = np.where(last, fy[pair + 1], np.concatenate([q[1:], [0]])) - q
+    both = np.minimum(dx, dy)
+    of = np.repeat(np.arange(len(p)), both)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(both) - both, both)
+    left = np.bincount(of, hx[p[of] + k] != hy[q[of] + k], len(p))
+    right = np.bincount(of, hx[(p + dx - both)[of] + k] != hy[(q + dy - both)[of] + k], len(p))
+    return np.bincount(pair, np.minimum(left, right) + np.abs(dx - dy), n)
+
+
+def _bounded(todo: list, res: np.ndarray) -> list:
+    """Settles the pairs that bounds of the edit distance tell; the others are returned. One edit takes q q-mers away at most."""
+    left, at = [], 0
+    while at < len(todo):
+        end, size = at, 0
+        while end < len(todo) and (end == at or size + len(todo[end][1]) + len(todo[end][2]) <= 1 << 15):
+            size += len(todo[end][1]) + len(todo[end][2])
+            end += 1
+        part = todo[at:end]
+        at = end
+        for q in (3, 2, 1):
+            if not part:
+                break
+            fx, fy = (np.concatenate([[0], np.cumsum([len(r[k]) for r in part])]) for k in (1, 2))
+            hx, hy = (np.concatenate([r[k] for r in part]) for k in (1, 2))
+            limit = np.array([r[3] for r in part])
+            pair, i, j = _met(hx, fx, hy, fy, q)
+            open_ = np.bincount(pair, minlength=len(part)) >= np.maximum(np.diff(fx), np.diff(fy)) - (q - 1) - q * limit
+            if q == 3:
+                near = _at_most(hx, fx, hy, fy, pair, i, j) <= limit
+                for r, x in zip(part, near, strict=True):
+                    res[r[0]] = x
+                open_ &= ~near
+            part = [r for r, x in zip(part, open_, strict=True) if x]
+        left += part
+    return left
+
+
 def within(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, cells: int = 1 << 18) -> np.ndarray:
     """Whether each pair of sequences has edit similarity 1 - distance / longer length of at least threshold."""
     res = np.zeros(len(pairs), bool)
@@ -178,6 +266,7 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, cells:
             res[i] = len(x) + len(y) <= limit
         elif limit:
             todo.append((i, x, y, limit))
+    todo = _bounded(todo, res)
     t = 4
     while todo:
         todo.sort(key=lambda r: len(r[1]))
@@ -207,7 +296,7 @@ def _similar(threshold: float):
         release()
         res = np.zeros(len(x), bool)
         (dx, ox), (dy, oy) = utf8(x), utf8(y)
-        for lo, hi in slices(ox + oy):
+        for lo, hi in slices(ox + oy, STEP):
             _, _, hx, fx = words(dx[ox[lo] : ox[hi]], ox[lo : hi + 1] - ox[lo])
             _, _, hy, fy = words(dy[oy[lo] : oy[hi]], oy[lo : hi + 1] - oy[lo])
             res[lo:hi] = within([(hx[fx[i] : fx[i + 1]], hy[fy[i] : fy[i + 1]]) for i in range(hi - lo)], threshold)
@@ -293,24 +382,29 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.select("d", F.count("*").over(by).alias("c"), F.min("d").over(by).alias("s"), F.array(*[F.lag("d", j).over(order) for j in range(1, SMALL)]).alias("p")).where("c > 1")
 
 
-def _counted(batches):
-    """(k, c): a partition's words by the hash of each, in COUNTERS counters."""
-    release()
-    total = np.zeros(COUNTERS, np.int64)
-    for b in batches:
-        data, off = utf8(b.column(0))
-        for lo, hi in slices(off):
-            _, _, h, _ = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            total += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    k = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "c"])
+def _counted(q: int):
+    """(k, c): a partition's q-mers by the hash of each, in COUNTERS counters."""
+
+    def counted(batches):
+        release()
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            data, off = utf8(b.column(0))
+            for lo, hi in slices(off):
+                _, _, h, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                v, _ = kmers(h, first, q)
+                total += np.bincount((v & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "c"])
+
+    return counted
 
 
 RARE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("hist", T.BinaryType()), T.StructField("ws", T.ArrayType(T.LongType()))])
 
 
-def _rarest(counts: np.ndarray, threshold: float):
-    """Of each text: number of words, histogram (one byte a bucket, 255 for more), and the rarest words, of which two texts within the threshold share one."""
+def _rarest(counts: np.ndarray, threshold: float, q: int):
+    """Of each text: number of words, histogram (one byte a bucket, 255 for more), and the rarest q-mers, of which two texts within the threshold share one."""
 
     def rarest(text: pa.Array) -> pa.Array:
         release()
@@ -322,10 +416,14 @@ def _rarest(counts: np.ndarray, threshold: float):
             doc = np.repeat(np.arange(hi - lo), n)
             hist = np.bincount(doc * HISTOGRAM + (h >> U64(40)).astype(np.int64) % HISTOGRAM, minlength=(hi - lo) * HISTOGRAM)
             hists += np.minimum(hist, 255).astype(np.uint8).reshape(hi - lo, HISTOGRAM).tolist()
-            v, _ = kmers(h, first, 1)
-            need = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
-            order = np.lexsort((v, counts[(h & U64(COUNTERS - 1)).astype(np.int64)], doc))
-            rank = np.arange(len(v)) - first[doc]
+            v, start = kmers(h, first, q)
+            own = np.diff(start)
+            # of two texts of n words at least, k edits leave n - q + 1 - q k q-mers in common
+            shared = np.ceil(n * (1 - q * (1 - threshold)) - (q - 1) - 1e-9).astype(np.int64)
+            need = np.where(n > 0, np.minimum(own, own - shared + 1), 0)
+            doc = np.repeat(np.arange(hi - lo), own)
+            order = np.lexsort((v, counts[(v & U64(COUNTERS - 1)).astype(np.int64)], doc))
+            rank = np.arange(len(v)) - start[doc]
             ws.append(v[order][rank < need[doc]])
             lens.append(need)
             n_all.append(n)
@@ -373,10 +471,11 @@ def _across(threshold: float):
 
 def _crowded(work: Work, crowd: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of texts (id, x) of crowded buckets that are in different groups and may be within the threshold."""
+    q = 2 if threshold >= 0.7 else 1  # below, two near texts of a few words may have no two in a row in common
     counts = np.zeros(COUNTERS, np.int64)
-    for r in crowd.select("x").mapInArrow(_counted, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toLocalIterator():  # at most COUNTERS rows
-        counts[r.k] = r.c
-    own = work.cut(crowd.select("id", _rarest(counts, threshold)("x").alias("r")).select("id", "r.*"))
+    seen = crowd.select("x").mapInArrow(_counted(q), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # at most COUNTERS rows
+    counts[seen["k"].to_numpy()] = seen["c"].to_numpy()
+    own = work.cut(crowd.select("id", _rarest(counts, threshold, q)("x").alias("r")).select("id", "r.*"))
     own = own.join(label, "id", "left").withColumn("g", F.coalesce("g", "id"))
     rows = own.select("id", "g", F.explode("ws").alias("w"))
     each = rows.groupBy("w", "g").agg(F.count("*").alias("own"))

@@ -114,6 +114,35 @@ def test_near_in_crowded_buckets(spark, monkeypatch, block):
     assert got == want
 
 
+def test_bounds_settle_what_is_plain(monkeypatch):
+    """Texts of one small vocabulary that are no copies, and copies with few edits, need no band; what is near the threshold is aligned and right."""
+    banded, band = [], near_dedup._band
+    monkeypatch.setattr(near_dedup, "_band", lambda a, la, *rest: banded.append(len(la)) or band(a, la, *rest))
+    h = lambda t: near_dedup.words(*near_dedup.utf8(pa.array([t])))[2]
+    texts = [words(900, 700 + i) for i in range(12)]
+    pairs = [(h(texts[i]), h(texts[i + 1])) for i in range(11)] + [(h(t), h("front " + edited(t, 20, i).replace("x7", "x7 more"))) for i, t in enumerate(texts)]
+    assert near_dedup.within(pairs, 0.8).tolist() == [False] * 11 + [True] * 12 and banded == []
+    rng, pairs = np.random.default_rng(5), []
+    for _ in range(60):
+        a = rng.integers(0, 40, 120).astype(np.uint64)
+        b = a.copy()
+        for _ in range(rng.integers(18, 34)):
+            at = rng.integers(0, len(b))
+            b = (np.delete(b, at), np.insert(b, at, rng.integers(0, 40)).astype(np.uint64), np.where(np.arange(len(b)) == at, 41, b).astype(np.uint64))[rng.integers(0, 3)]
+        pairs.append((a, b))
+    want = [edit_distance(a.tolist(), b.tolist()) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    assert near_dedup.within(pairs, 0.8).tolist() == want and 5 < sum(want) < 55
+
+
+def test_crowded_candidates_not_by_chance(spark):
+    """Long texts of one vocabulary have all their words and their histograms alike; only the copy is a candidate, so pairs don't grow with the square of the table."""
+    texts = [words(1500, 800 + i) for i in range(40)]
+    texts.append(edited(texts[3], 200, 1))
+    crowd = spark.createDataFrame(list(enumerate(texts, 1)), "id long, x string")
+    got = near_dedup._crowded(near_dedup.Work(spark, "test"), crowd, spark.createDataFrame([], "id long, g long"), 0.8).collect()
+    assert [(r.a, r.b) for r in got] == [(4, 41)]
+
+
 def test_near_awkward(spark):
     d = frame(spark)
     got = {(r.doc_id, r.group_id, r.kept) for r in near_dedup.near_dedup(d).collect()}
