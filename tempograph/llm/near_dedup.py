@@ -10,10 +10,11 @@ similarity, as both the shared k-mers and their order count. Each of the m value
    alone put them under the threshold are not candidates.
 3. What is in a crowded bucket (a passage that many documents share puts them there) is searched exactly, whatever bands a
    pair shares: texts of n words within the edit distance have at least 0.6 n - 1 runs of two words in common, as an edit
-   takes two away, so the rarest 0.4 n + 1 runs (labelled by occurrence; one order for all) of two such texts meet in one.
-   Single words would do as well, but chance makes texts of one language meet in them, the more the larger the table. Lists
+   takes two away, so of the rarest 0.4 n + s runs (labelled by occurrence; one order for all) of two such texts s meet.
+   Chance makes long texts of one language meet in a few, in pairs that grow with the square of the table; so s is a quarter
+   of the runs in common, and pairs that meet in fewer are no candidates. Lists
    of these runs are compared in blocks: pairs of two groups whose lengths and word histograms allow the distance are
-   candidates. So no pair that shares a band is left out, none within a group is made, and SMALL only chooses the way.
+   counted. So no pair that shares a band is left out, none within a group is made, and SMALL only chooses the way.
 4. Pairs are verified by the edit distance of the word sequences, at most (1 - threshold) * longer length: too few q-mers in
    common (q of 3, 2, 1) rule a pair out, an alignment along common 3-mers that is cheap enough lets it in, and what neither
    tells is aligned in a band that grows until it holds the distance. Pairs inside one group already need no verification: first each node's
@@ -41,6 +42,8 @@ ORDER = 2
 #: Counters of the frequencies of runs of words, buckets of a text's word histogram, texts in a block.
 COUNTERS = 1 << 18
 HISTOGRAM = 128
+#: Texts meet in one of so many of the runs that they have in common at least.
+MEET = 4
 BLOCK = 256
 #: Bytes of text in a step, so that a step's arrays stay in a core's cache.
 STEP = 1 << 18
@@ -400,11 +403,17 @@ def _counted(q: int):
     return counted
 
 
+def _common(n: np.ndarray, threshold: float, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two texts within the threshold, the shorter of which has n words or more: the q-mers they have in common at least, and in how many of their rarest they are made to meet. Neither falls as n grows."""
+    shared = np.ceil(n * (1 - q * (1 - threshold)) - (q - 1) - 1e-9).astype(np.int64)
+    return shared, 1 + np.maximum(shared - 1, 0) // MEET
+
+
 RARE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("hist", T.BinaryType()), T.StructField("ws", T.ArrayType(T.LongType()))])
 
 
 def _rarest(counts: np.ndarray, threshold: float, q: int):
-    """Of each text: number of words, histogram (one byte a bucket, 255 for more), and the rarest q-mers, of which two texts within the threshold share one."""
+    """Of each text: number of words, histogram (one byte a bucket, 255 for more), and the rarest q-mers, of which two texts within the threshold share as many as _common() has for the shorter one."""
 
     def rarest(text: pa.Array) -> pa.Array:
         release()
@@ -418,9 +427,9 @@ def _rarest(counts: np.ndarray, threshold: float, q: int):
             hists += np.minimum(hist, 255).astype(np.uint8).reshape(hi - lo, HISTOGRAM).tolist()
             v, start = kmers(h, first, q)
             own = np.diff(start)
-            # of two texts of n words at least, k edits leave n - q + 1 - q k q-mers in common
-            shared = np.ceil(n * (1 - q * (1 - threshold)) - (q - 1) - 1e-9).astype(np.int64)
-            need = np.where(n > 0, np.minimum(own, own - shared + 1), 0)
+            # of the q-mers in common, all but the first ``meet`` may stand behind the ones taken
+            shared, meet = _common(n, threshold, q)
+            need = np.where(n > 0, np.minimum(own, own - shared + meet), 0)
             doc = np.repeat(np.arange(hi - lo), own)
             order = np.lexsort((v, counts[(v & U64(COUNTERS - 1)).astype(np.int64)], doc))
             rank = np.arange(len(v)) - start[doc]
@@ -433,8 +442,8 @@ def _rarest(counts: np.ndarray, threshold: float, q: int):
     return arrow_udf(rarest, RARE)
 
 
-def _across(threshold: float):
-    """Of two blocks of texts (id, g, n, hist): the pairs of different groups that may be within the threshold. Edit distance k changes a histogram by 2 k at most, so none that is within is left out."""
+def _across(threshold: float, q_mer: int):
+    """Of two blocks of texts (id, g, n, hist): the pairs of different groups that may be within the threshold, and in how many q-mers they have to meet. Edit distance k changes a histogram by 2 k at most, so none that is within is left out."""
 
     def across(x: pa.Array, y: pa.Array) -> pa.Array:
         release()
@@ -446,7 +455,7 @@ def _across(threshold: float):
             return a.offsets.to_numpy() - a.offsets[0].as_py(), i, g, n.astype(np.int64), np.frombuffer(raw, np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
 
         (ox, ix, gx, nx, hx), (oy, iy, gy, ny, hy) = side(x), side(y)
-        out, lens = [np.zeros((0, 2), np.int64)], [0]
+        out, lens = [np.zeros((0, 3), np.int64)], [0]
         for r in range(len(x)):
             a, b = slice(ox[r], ox[r + 1]), slice(oy[r], oy[r + 1])
             longer = np.maximum(nx[a][:, None], ny[b][None, :])
@@ -458,15 +467,15 @@ def _across(threshold: float):
                 near = np.abs(hx[a][p[at]] - hy[b][q[at]]).sum(axis=1, dtype=np.int64) <= 2 * limit[p[at], q[at]]
                 ok[p[at], q[at]] = near
             p, q = np.nonzero(ok)
-            ids = np.stack([ix[a][p], iy[b][q]], axis=1)
-            ids.sort(axis=1)
+            _, meet = _common(np.minimum(nx[a][p], ny[b][q]), threshold, q_mer)
+            ids = np.stack([np.minimum(ix[a][p], iy[b][q]), np.maximum(ix[a][p], iy[b][q]), meet], axis=1)
             out.append(np.unique(ids, axis=0))
             lens.append(len(out[-1]))
         flat = np.concatenate(out)
-        pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
+        pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(flat[:, 2])], ["a", "b", "meet"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(lens).astype(np.int32)), pairs)
 
-    return arrow_udf(across, T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
+    return arrow_udf(across, T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("meet", T.LongType())])))
 
 
 def _crowded(work: Work, crowd: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
@@ -490,8 +499,10 @@ def _crowded(work: Work, crowd: DataFrame, label: DataFrame, threshold: float) -
     side = lambda v, i: blocks.where("many").select("w", F.struct(F.col("pure").isNull().alias("mixed"), "pure", "k").alias(f"b{i}"), F.col("m").alias(v))
     apart = (F.col("b1") < F.col("b2")) & ~F.coalesce(F.col("b1.pure") == F.col("b2.pure"), F.lit(False))
     x = x.unionByName(side("x", 1).join(side("y", 2), "w").where(apart).select("x", "y"))
-    found = x.select(F.explode(_across(threshold)("x", "y")).alias("p")).select("p.a", "p.b")
-    return work.cut(found.where("a < b").distinct())
+    found = x.select(F.explode(_across(threshold, q)("x", "y")).alias("p")).select("p.*").where("a < b")
+    # a pair comes once for each q-mer in which its texts meet
+    met = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("meet").alias("meet"))
+    return work.cut(met.where("c >= meet").select("a", "b"))
 
 
 def _cross(pairs: DataFrame, label: DataFrame) -> DataFrame:

@@ -143,6 +143,33 @@ def test_crowded_candidates_not_by_chance(spark):
     assert [(r.a, r.b) for r in got] == [(4, 41)]
 
 
+def test_crowded_candidates_meet_more_than_once(spark):
+    """Long texts of a few words share some of their rarest runs by chance and are no candidates; the copy is one, with nearly as many edits as the threshold allows."""
+    texts = [" ".join(np.random.default_rng(i).choice([f"w{k}" for k in range(150)], 1500)) for i in range(20)]
+    texts.append(edited(texts[3], 290, 1))
+    crowd = spark.createDataFrame(list(enumerate(texts, 1)), "id long, x string")
+    got = near_dedup._crowded(near_dedup.Work(spark, "test"), crowd, spark.createDataFrame([], "id long, g long"), 0.8).collect()
+    assert [(r.a, r.b) for r in got] == [(4, 21)]
+
+
+@pytest.mark.parametrize(("threshold", "q"), [(0.8, 2), (0.7, 2), (0.5, 1)])
+def test_rarest_of_near_texts_meet(threshold, q):
+    """Texts at the threshold, whose edits lie apart so that each takes away as many runs as it can, meet in as many of their rarest runs as is asked for, whatever the order."""
+    rng = np.random.default_rng(7)
+    for n in (4, 5, 6, 9, 10, 15, 40, 101, 300):
+        for vocabulary in (3, 1000):
+            x = rng.integers(0, vocabulary, n)
+            k = int((1 - threshold) * n + 1e-9)
+            y = x.astype(object)
+            y[np.arange(k) * n // max(k, 1)] = [f"new{i}" for i in range(k)]
+            less = [w for w in y if not str(w).startswith("new")]
+            text = pa.array([" ".join(map(str, v)) for v in (x, y, less)])
+            out = near_dedup._rarest(rng.integers(0, 5, near_dedup.COUNTERS), threshold, q).func(text).to_pylist()
+            for other in out[1:]:
+                meet = near_dedup._common(np.array([other["n"]]), threshold, q)[1][0]
+                assert len({*out[0]["ws"]} & {*other["ws"]}) >= meet >= 1 or k == 0
+
+
 def test_near_awkward(spark):
     d = frame(spark)
     got = {(r.doc_id, r.group_id, r.kept) for r in near_dedup.near_dedup(d).collect()}
