@@ -3,7 +3,9 @@
 import re
 from collections import Counter
 
-from tempograph.operators import graph
+from tempograph.operators import graph, lineage as L
+from tempograph.plans import history
+from tempograph.plans.registry import Tables
 from tempograph.queries import QUERIES
 
 BRANDS, TYPES, NAMES = ["Brand#1", "Brand#2"], ["SMALL PLATED TIN", "SMALL PLATED BRASS", "LARGE BURNISHED TIN"], ["red bolt", "blue bolt", "green nut", "red nut", "plain cap"]
@@ -77,3 +79,25 @@ def test_a_count_has_no_limit(spark, tmp_path):
     e = spark.range(200).selectExpr("'a' AS source", "cast(id AS int) AS ordinal", "concat('b', id) AS target", "'b' AS target_name", "'resolved' AS resolution")
     s = spark.createDataFrame([("a",)], "id string")
     assert graph.trace(e, s).count() == 50 and graph.trace(e, s, max_paths=None).count() == 200
+
+
+def test_equal_parts_are_scored_once(spark, tmp_path):
+    one = [(k, BRANDS[k // 2 % 2], NAMES[k * k % 5], TYPES[k // 4 % 3], 1 + k * 7 % 50) for k in range(40)]
+    parts = one + [(k + 40, *x) for k, *x in one[:20]] + [(k + 80, *x) for k, *x in one[:8]]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    p, c, r = history._resolved(t)
+    single = {(r.from_id, r.to_id) for r in L.score_pairs(*history._sides(Tables(spark, _written(spark, tmp_path / "one", one))), ["block"]).select("from_id", "to_id").collect()}
+    assert r.count() == len(single)
+    want = scored(parts)
+    near = {q: {o for o in want if o != q and (o[0] == q[0] or o[1] == q[1]) and round(abs(want[o] - want[q]), 6) < 0.05} for q in want}
+    run = lambda q: QUERIES[q](spark, str(tmp_path)).collect()
+    assert {(r.from_id, r.to_id): r.status for r in run("fuzzy_ambiguity")} == {q: "candidate" if near[q] else "resolved" for q in want}
+    assert {(r.from_id, r.to_id): r.alternatives for r in run("lineage_alternatives")} == {q: ",".join(f"{a}>{b}" for a, b in sorted(n)) for q, n in near.items() if n}
+    assert {(r.from_id, r.to_id) for r in run("lineage_split_merge")} == {q for q in near if not near[q]}
+    assert {(r.from_id, r.to_id) for r in run("persisted_lineage") if r.kind == "candidate"} == {q for q in near if near[q]}
+
+
+def _written(spark, at, parts):
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{at}/part.parquet")
+    return str(at)
