@@ -286,6 +286,8 @@ def recovery_inspection(t: Tables):
 @query("""
 SELECT DISTINCT l_partkey AS new_blob FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)""")
 def repair_gaps(t: Tables):
-    ch = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("new_blob"), F.lit("100644").alias("new_mode"), F.lit("x").alias("new_path"))
-    an = t.part.where("p_size < 25").select(F.col("p_partkey").cast("string").alias("blob_oid"), F.lit("v1").alias("fingerprint"))
-    return recovery.gaps(ch, an, "v1").select(F.col("new_blob").cast("long").alias("new_blob"))
+    # keys are no blob ids: a prefix keeps the key 0 from being taken for the id of no blob
+    blob = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    ch = t.lineitem.where("l_returnflag = 'R'").select(blob("l_partkey").alias("new_blob"), F.lit("100644").alias("new_mode"), F.lit("x").alias("new_path"))
+    an = t.part.where("p_size < 25").select(blob("p_partkey").alias("blob_oid"), F.lit("v1").alias("fingerprint"))
+    return recovery.gaps(ch, an, "v1").select(F.substring("new_blob", 2, 20).cast("long").alias("new_blob"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tempograph.operators import recovery, render
 from tempograph.plans import history
+from tempograph.queries import QUERIES
 from tempograph.sources import observations
 
 
@@ -37,3 +38,9 @@ def test_observation_rules(spark):
 def test_blocks(spark):
     b = spark.createDataFrame([([("code", "a ``` b", "py", None), ("text", "t", None, None), ("link", None, None, "u")],)], "b array<struct<type: string, text: string, language: string, url: string>>")
     assert b.select(render.blocks(F.col("b")).alias("m")).first().m == "````py\na ``` b\n````\n\nt\n\n[u](u)"
+
+
+def test_gaps_take_the_key_zero(spark, tmp_path):
+    spark.createDataFrame([(0, "R"), (0, "R"), (1, "R"), (2, "N"), (10, "R")], "l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, 40), (1, 3), (2, 40), (10, 40)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(r.new_blob for r in QUERIES["repair_gaps"](spark, str(tmp_path)).collect()) == [0, 10]
