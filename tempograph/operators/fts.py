@@ -6,7 +6,13 @@ import re
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
+
+from ..work import Work
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -115,18 +121,35 @@ def bm25_sql(table: str, id_col: str, text: str, query: list[str], limit: int |
     FROM b, s WHERE {' OR '.join(f'f{i} > 0' for i in range(n))} {tail}"""
 
 
+@arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))
+def grouped(words: pa.Array) -> pa.Array:
+    """Of each list of words, every word with its positions, counted from 1. Some lists at a time, by sorting numbers of words."""
+    out = []
+    for at in range(0, len(words), 256):
+        part = words.slice(at, 256)
+        n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.dictionary_encode(pc.list_flatten(part))
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(part)), n)
+        pos = np.arange(len(codes)) - (np.cumsum(n) - n)[row] + 1
+        key = row * max(1, len(coded.dictionary)) + codes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[order], pa.int32()))
+        items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(codes[order][first])).cast(pa.string()), positions], ["term", "positions"])
+        terms = np.bincount(row[order][first], minlength=len(part))
+        out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(terms)), pa.int32()), items))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))])))
+
+
 def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
     """(id, field, term, positions, bucket): an index to write partitioned by bucket, so that a query reads its terms only. A document's terms are grouped in its own row: nothing is shuffled."""
     parts = []
     for f, c in fields.items():
-        x = docs.select(F.col(id_col), tokens(c).alias("_t"))
-        pairs = F.transform("_t", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos")))
-        x = x.select(id_col, F.array_sort(pairs).alias("_p"))
-        # equal terms are neighbours now: the places where one begins, and from each the positions up to the next
-        begins = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | (F.get(F.col("_p"), i - 1)["term"] != F.get(F.col("_p"), i)["term"]))
-        x = x.where(F.size("_p") > 0).select(id_col, "_p", begins.alias("_b"))
-        item = F.transform("_b", lambda i, k: F.struct(F.get(F.col("_p"), i)["term"].alias("term"), F.transform(F.slice("_p", i + 1, F.coalesce(F.get(F.col("_b"), k + 1), F.size("_p")) - i), lambda y: y["pos"]).alias("positions")))
-        parts.append(x.select(id_col, F.lit(f).alias("field"), F.explode(item).alias("_i")).select(id_col, "field", "_i.*"))
+        # outer: explode would infer a filter on the array, and that one be pushed below, so that all of it is done twice
+        x = docs.select(F.col(id_col), F.explode_outer(grouped(tokens(c))).alias("_i"))
+        parts.append(x.select(id_col, F.lit(f).alias("field"), "_i.*").where("term is not null"))
     return reduce(DataFrame.unionByName, parts).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
 
 
@@ -135,6 +158,12 @@ def field_lengths(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> Da
     return docs.select(F.col(id_col), reduce(lambda a, b: a + b, [F.greatest(F.size(tokens(c)), F.lit(0)) for c in fields.values()]).alias("len"))
 
 
+def indexed_lengths(index: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """field_lengths() from a postings table of these documents: no text is read again."""
+    n = index.groupBy(id_col).agg(F.sum(F.size("positions")).alias("len"))
+    return docs.select(id_col).join(n, id_col, "left").select(id_col, F.coalesce("len", F.lit(0)).alias("len"))
+
+
 def search_postings(index: DataFrame, lengths: DataFrame, id_col: str, query: list[str], limit: int | None = 20, weights: dict[str, float] | None = None) -> DataFrame:
     """id, score, hits: BM25 from a postings table; only the buckets of the query's terms are read. A term of several words is a phrase: its words stand next to each other in one field. weights: what an occurrence in a field counts (1)."""
     terms = [w for w in map(query_words, dict.fromkeys(query)) if w]
@@ -152,6 +181,7 @@ def search_postings(index: DataFrame, lengths: DataFrame, id_col: str, query: li
     more = hit.join(F.broadcast(size.where("n > 1")), "q").select(id_col, "q", "n", "field", F.explode("positions").alias("p"), "j")
     more = more.groupBy(id_col, "q", "n", "field", (F.col("p") - F.col("j")).alias("at")).agg(F.count("*").alias("c")).where("c = n").select(id_col, "q", weight.alias("f"))
     tf = one.unionByName(more).groupBy(id_col, "q").agg(F.sum("f").alias("f"))
+    tf = Work(spark, "search").cut(tf)  # read twice; the index is searched once
     df = tf.groupBy("q").agg(F.count("*").alias("d"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("av"))
     x = tf.join(F.broadcast(df), "q").join(lengths, id_col).crossJoin(F.broadcast(stats))

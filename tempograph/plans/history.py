@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import graph, lineage as L, recovery
 from .registry import Tables, query
 
+#: Rows that a task of a join by file takes on average.
+TASK_ROWS = 250_000
+
 _OBS = "o AS (SELECT doc_id AS seq, source AS logical, sha256(text) AS revision, lang AS path FROM documents)"
 _DEL = "d AS (SELECT doc_id AS seq, lang AS path FROM documents WHERE doc_id % 97 = 5)"
 _EVENTS = """ev AS (SELECT d.seq, d.path, o.logical, arg_max(o.revision, o.seq) AS revision FROM (SELECT DISTINCT * FROM d) d JOIN o ON o.path = d.path AND o.seq <= d.seq GROUP BY ALL)"""
@@ -194,6 +199,8 @@ p AS (SELECT l_orderkey AS file, l_linenumber AS ref, l_linenumber * 10 + 5 AS a
 SELECT p.file, p.ref, arg_min(r.id, (r.hi - r.lo) * 1000 + r.id) AS owner FROM p JOIN r ON p.file = r.file AND p.at BETWEEN r.lo AND r.hi GROUP BY p.file, p.ref""")
 def range_enclosing_min(t: Tables):
     li = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    # a task's share has a fixed number of rows, so its sorts stay in the same memory however many there are
+    li = li.repartition(max(t.spark.sparkContext.defaultParallelism, math.ceil(li.count() / TASK_ROWS)), "file")
     r = li.select("file", F.col("n").alias("id"), (F.col("n") * 10).alias("lo"), (F.col("n") * 10 + F.col("q")).alias("hi"))
     p = li.select("file", F.col("n").alias("ref"), (F.col("n") * 10 + 5).alias("at"))
     return p.join(r, "file").where("at between lo and hi").groupBy("file", "ref").agg(F.min_by("id", F.struct(F.col("hi") - F.col("lo"), "id")).alias("owner"))

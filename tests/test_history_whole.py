@@ -101,3 +101,13 @@ def test_equal_parts_are_scored_once(spark, tmp_path):
 def _written(spark, at, parts):
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{at}/part.parquet")
     return str(at)
+
+
+def test_range_tasks_have_a_fixed_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "TASK_ROWS", 50)
+    rows = [(k % 60, k % 7, float(k * 13 % 50 + 1)) for k in range(600)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    x = QUERIES["range_enclosing_min"](spark, str(tmp_path))
+    assert x.rdd.getNumPartitions() >= 12
+    own = {(f, n): min((int(q), m) for g, m, q in rows if g == f and 10 * m <= 10 * n + 5 <= 10 * m + int(q)) for f, n, _ in rows if any(g == f and 10 * m <= 10 * n + 5 <= 10 * m + int(q) for g, m, q in rows)}
+    assert {(r.file, r.ref): r.owner for r in x.collect()} == {k: m for k, (_, m) in own.items()}

@@ -128,3 +128,13 @@ def test_ids():
 
     assert canonical({"b": 1, "a": [float("nan"), b"x", None]}) == '{"a":[null,{"base64":"eA=="},null],"b":1}'
     assert json.loads(canonical({"x": 1.0})) == {"x": 1}
+
+
+def test_postings_group_words_and_give_lengths(spark):
+    docs = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(["b a b", "", None, "a é E " + "x " * 300])] + [(i, f"w{i % 3} a", "de") for i in range(4, 700)], "id int, text string, lang string").coalesce(1)
+    fields = {"text": F.col("text"), "lang": F.col("lang")}
+    p = fts.postings(docs, "id", fields)
+    got = {(r.id, r.field, r.term): r.positions for r in p.collect()}
+    assert got[0, "text", "b"] == [1, 3] and got[3, "text", "e"] == [2, 3] and got[3, "text", "x"] == list(range(4, 304)) and got[699, "text", "a"] == [2]
+    assert len(got) == 3 + 1 + 1 + 4 + 3 * 696 and (1, "text", "") not in got
+    assert sorted(fts.indexed_lengths(p, docs, "id").collect()) == sorted(fts.field_lengths(docs, "id", fields).collect())
