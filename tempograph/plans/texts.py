@@ -154,7 +154,4 @@ def text_graph_nodes(t: Tables):
 
 @query()
 def text_graph_project(t: Tables):
-    from ..operators import graph
-
-    g = textgraph.graphs(t.messages())
-    return graph.project(textgraph.nodes(g), textgraph.edges(g), "work")
+    return textgraph.project(t.messages(), "work")
