@@ -111,3 +111,9 @@ def test_range_tasks_have_a_fixed_number_of_rows(spark, tmp_path, monkeypatch):
     assert x.rdd.getNumPartitions() >= 12
     own = {(f, n): min((int(q), m) for g, m, q in rows if g == f and 10 * m <= 10 * n + 5 <= 10 * m + int(q)) for f, n, _ in rows if any(g == f and 10 * m <= 10 * n + 5 <= 10 * m + int(q) for g, m, q in rows)}
     assert {(r.file, r.ref): r.owner for r in x.collect()} == {k: m for k, (_, m) in own.items()}
+
+
+def test_structural_overlap_pairs_differ_in_size(spark, tmp_path):
+    _written(spark, tmp_path, [(1, "Brand#1", "a", "SMALL TIN", 10), (2, "Brand#1", "b", "SMALL BRASS", 5), (3, "Brand#2", "c", "SMALL TIN", 5), (4, "Brand#1", "d", "SMALL TIN", 10)])
+    got = {(r.a, r.b): (r.overlap, r.size_similarity) for r in QUERIES["structural_overlap_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (0.5, 0.5), (1, 4): (1.0, 1.0), (2, 4): (0.5, 0.5)}
